@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import decontam, pieces, pii, simhash
+from palimpsest.llm import decontam, pieces, pii, quality, simhash
 from palimpsest.llm.common import read
 
 
@@ -26,5 +26,9 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_pii": op1_pii, "op5_sentencepiece": op5_sentencepiece, "op6_decontamination": op6_decontamination, "op9_simhash": op9_simhash}
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_pii": op1_pii, "op5_sentencepiece": op5_sentencepiece, "op6_decontamination": op6_decontamination, "op9_simhash": op9_simhash, "op10_quality": op10_quality}
 ORACLES: dict[str, str] = {}
