@@ -132,10 +132,11 @@ def render(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def redact(docs: DataFrame, text: str = "text") -> DataFrame:
+def redact(docs: DataFrame, text: str = "text", count: str | None = None) -> DataFrame:
     """``docs`` with every span of personal data replaced by ``[KIND]``; spans that overlap become one.
 
-    The columns stay as they were; texts without personal data, and null texts, are not touched.
+    The columns stay as they were, except that ``count``, if named, gets the new length of texts that change. Texts
+    without personal data, and null texts, are not touched.
     """
     found = with_spans(docs, text, "__pii")
     whole = F.col(f"`{text}`")
@@ -164,6 +165,9 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
         F.substring(whole, F.element_at(spans, -1)["end"] + 1, F.length(whole)),
     )
     out = merged.withColumn(text, F.when(F.size(spans) > 0, cleaned).otherwise(whole))
+    if count:
+        length = F.length(F.col(f"`{text}`")).cast(docs.schema[count].dataType)
+        out = out.withColumn(count, F.when(F.size(spans) > 0, length).otherwise(F.col(f"`{count}`")))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
