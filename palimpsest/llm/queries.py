@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from palimpsest.llm import decontam, pieces, pii, quality, simhash
+from palimpsest.llm import decontam, pieces, pii, quality, simhash, urls
 from palimpsest.llm.common import read
 
 
@@ -22,6 +23,65 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+#: Dated changes of whole domains: list, kind, value, change, day of 2024 (from 0).
+DOMAINS = (
+    ("malware", "host", "example.net", "add", 60), ("malware", "host", "example.net", "remove", 135), ("malware", "host", "example.net", "add", 244),
+    ("adult", "host", "example.org", "add", 40), ("adult", "host", "example.org", "remove", 50), ("adult", "host", "example.org", "add", 50),
+    ("allow-partners", "host", "example.com", "add", 300),
+)
+
+
+def list_changes(pages: DataFrame) -> DataFrame:
+    """Changes of the fixed domains and, as there is no table of lists, of the corpus's own hosts by a rule on their MD5."""
+    spark = pages.sparkSession
+    fixed = spark.createDataFrame(DOMAINS, "list string, kind string, value string, change string, day int")
+    hosts = pages.select(urls.host(F.col("url")).alias("h")).where("h != ''").groupBy("h").agg(F.first(F.conv(F.substring(F.md5("h"), 1, 4), 16, 10).cast("int")).alias("x"))
+    entry = lambda name, kind, value, change, day: F.struct(F.lit(name).alias("list"), F.lit(kind).alias("kind"), value.alias("value"), F.lit(change).alias("change"), day.cast("int").alias("day"))
+    h, x = F.col("h"), F.col("x")
+    own = F.array(
+        F.when(x % 5 == 0, entry("spam", "host", h, "add", x % 300)),
+        F.when(x % 5 == 0, entry("spam", "host", h, "remove", x % 300 + 45)),
+        F.when(x % 7 == 0, entry("ads", "prefix", F.concat(h, F.lit("/en")), "add", F.lit(100))),
+        F.when(x % 11 == 1, entry("allow-list", "host", h, "add", F.lit(200))),
+    )
+    changes = fixed.unionByName(hosts.select(F.explode(F.array_compact(own)).alias("e")).select("e.*"))
+    return changes.withColumn("at", F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.col("day"))).drop("day")
+
+
+def op7_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages have no time of capture; their id gives one, to the minute, spread over 2024."""
+    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+    minute = F.make_dt_interval(F.lit(0), F.lit(0), (F.col("page_id") * 7919 % 527040).cast("int"))
+    captures = pages.withColumn("fetched", F.lit("2024-01-01").cast("timestamp_ntz") + minute)
+    return urls.match(captures, list_changes(pages))
+
+
+OP7_SQL = r"""
+with hosts as (select page_id, url, regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#@:]*)', 1)), '\.+$', '') as h,
+                      regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1) as p,
+                      timestamp '2024-01-01' + to_minutes(page_id * 7919 % 527040) as fetched from pages),
+own as (select distinct h, ('0x' || substr(md5(h), 1, 4))::int as x from hosts where h != ''),
+changes as (
+  select * from (values ('malware', 'host example.net', 'add', 60), ('malware', 'host example.net', 'remove', 135), ('malware', 'host example.net', 'add', 244),
+                        ('adult', 'host example.org', 'add', 40), ('adult', 'host example.org', 'remove', 50), ('adult', 'host example.org', 'add', 50),
+                        ('allow-partners', 'host example.com', 'add', 300)) as v(list, k, change, day)
+  union all select 'spam', 'host ' || h, 'add', x % 300 from own where x % 5 = 0
+  union all select 'spam', 'host ' || h, 'remove', x % 300 + 45 from own where x % 5 = 0
+  union all select 'ads', 'prefix ' || h || '/en', 'add', 100 from own where x % 7 = 0
+  union all select 'allow-list', 'host ' || h, 'add', 200 from own where x % 11 = 1),
+dated as (select list, k, day, max(change) as change from changes group by all),
+spans as (select list, k, timestamp '2024-01-01' + to_days(day) as since, lead(timestamp '2024-01-01' + to_days(day)) over (partition by list, k order by day) as until, change from dated),
+asked as (select page_id, url, fetched, h, k from (
+  select *, unnest(list_transform(range(1, len(string_split(h, '.')) + 1), lambda i: 'host ' || array_to_string(string_split(h, '.')[i:], '.'))) as k from hosts where h != ''
+  union all
+  select *, unnest(list_transform(range(1, len(string_split(trim(p, '/'), '/')) + 1), lambda i: 'prefix ' || h || '/' || array_to_string(string_split(trim(p, '/'), '/')[:i], '/'))) as k from hosts where h != '' and length(p) > 1)),
+met as (select a.page_id, s.list, s.k, s.since from asked a join spans s on a.k = s.k and s.change = 'add' and a.fetched >= s.since and (s.until is null or a.fetched < s.until)),
+per as (select page_id, count(*) as n_active, bool_or(list like 'allow%') as allowed, first(list || ' ' || k order by since desc, list, k) as entry from met group by page_id)
+select hosts.page_id, hosts.url, hosts.fetched, coalesce(n_active, 0) as n_active, case when allowed then 'allow' when n_active > 0 then 'block' else 'none' end as verdict, coalesce(entry, '') as entry
+from hosts left join per using (page_id)
+"""
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(read(spark, sf_dir, "documents"))
 
@@ -30,5 +90,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_pii": op1_pii, "op5_sentencepiece": op5_sentencepiece, "op6_decontamination": op6_decontamination, "op9_simhash": op9_simhash, "op10_quality": op10_quality}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_pii": op1_pii, "op5_sentencepiece": op5_sentencepiece, "op6_decontamination": op6_decontamination, "op7_url_lists": op7_url_lists, "op9_simhash": op9_simhash, "op10_quality": op10_quality}
+ORACLES: dict[str, str] = {"op7_url_lists": OP7_SQL}
