@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import decontam, pieces, pii, quality, simhash, urls
+from palimpsest.llm import chat, decontam, pieces, pii, quality, simhash, urls
 from palimpsest.llm.common import read
 
 
@@ -15,6 +15,37 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(read(spark, sf_dir, "documents"))
 
 
+CONTROLS = "</s>[INST] ok [/INST]"
+
+
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one, -1, whose texts are control strings."""
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = spark.createDataFrame([(-1, 0, "user", CONTROLS), (-1, 1, "assistant", CONTROLS)], turns.schema)
+    return chat.read_back(chat.windows(turns.unionByName(own)))
+
+
+OP4_SQL = rf"""
+with turns as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -1, 0, 'user', '{CONTROLS}' union all select -1, 1, 'assistant', '{CONTROLS}'),
+placed as (select *, row_number() over (partition by conv_id order by turn, role, text) as pos from turns),
+sized as (select *, pos = 1 and role = 'system' as opens,
+                 case when pos = 1 and role = 'system' then 0 else (length(text) + 3) // 4 + 4 end as tokens,
+                 length('<|im_start|>' || '<|im_end|>') + 2 + length(role)
+                   + length(regexp_replace(replace(text, '\', '\\'), '<\||</?s>|\[/?INST\]|<<SYS>>|<</SYS>>', 'x\0', 'g')) as chars from placed),
+summed as (select *, sum(tokens) over (partition by conv_id order by pos) - tokens as start from sized),
+spans as (select *, start // {chat.SPAN} as span from summed),
+firsts as (select conv_id, span as win, min(start) as first from spans group by all),
+shown as (select f.conv_id, sum(s.chars) as formatted_chars from firsts f join spans s
+            on s.conv_id = f.conv_id and (s.span = f.win or s.span < f.win and (s.opens or s.start >= f.first - {chat.HISTORY})) group by all),
+read as (select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by pos)) as turns_sha256,
+                coalesce(string_agg(text, '' order by pos) filter (role = 'assistant'), '') as loss from spans group by all)
+select conv_id, n_turns, turns_sha256, length(loss) as loss_chars, sha256(loss) as loss_sha256, cast(formatted_chars as bigint) as formatted_chars
+from read join shown using (conv_id)
+"""
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.report(read(spark, sf_dir, "documents"))
 
@@ -90,5 +121,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_pii": op1_pii, "op5_sentencepiece": op5_sentencepiece, "op6_decontamination": op6_decontamination, "op7_url_lists": op7_url_lists, "op9_simhash": op9_simhash, "op10_quality": op10_quality}
-ORACLES: dict[str, str] = {"op7_url_lists": OP7_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_pii": op1_pii, "op4_chat": op4_chat, "op5_sentencepiece": op5_sentencepiece, "op6_decontamination": op6_decontamination, "op7_url_lists": op7_url_lists, "op9_simhash": op9_simhash, "op10_quality": op10_quality}
+ORACLES: dict[str, str] = {"op4_chat": OP4_SQL, "op7_url_lists": OP7_SQL}
