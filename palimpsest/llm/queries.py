@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import chat, decontam, pieces, pii, quality, simhash, urls
+from palimpsest.llm import chat, decontam, licences, pieces, pii, quality, simhash, urls
 from palimpsest.llm.common import read
 
 
@@ -15,6 +15,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(read(spark, sf_dir, "documents"))
 
 
+def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.report(read(spark, sf_dir, "documents"))
+
+
 CONTROLS = "</s>[INST] ok [/INST]"
 
 
@@ -121,5 +125,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_pii": op1_pii, "op4_chat": op4_chat, "op5_sentencepiece": op5_sentencepiece, "op6_decontamination": op6_decontamination, "op7_url_lists": op7_url_lists, "op9_simhash": op9_simhash, "op10_quality": op10_quality}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_pii": op1_pii, "op2_licences": op2_licences, "op4_chat": op4_chat, "op5_sentencepiece": op5_sentencepiece, "op6_decontamination": op6_decontamination, "op7_url_lists": op7_url_lists, "op9_simhash": op9_simhash, "op10_quality": op10_quality}
 ORACLES: dict[str, str] = {"op4_chat": OP4_SQL, "op7_url_lists": OP7_SQL}
