@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import chat, decontam, licences, pieces, pii, quality, simhash, urls
+from palimpsest.llm import chat, decontam, licences, pieces, pii, quality, simhash, topk, urls
 from palimpsest.llm.common import read
 
 
@@ -117,6 +117,20 @@ from hosts left join per using (page_id)
 """
 
 
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top(read(spark, sf_dir, "embeddings"), every=50)
+
+
+OP8_SQL = """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings
+           where vec_id is not null and embedding is not null and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x)))),
+p as (select q.vec_id as query_id, c.vec_id, cast(list_dot_product(q.e, c.e) as bigint) as score
+      from v q join v c on c.vec_id != q.vec_id where q.vec_id % 50 = 0),
+r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank from p)
+select query_id, rank, vec_id, score from r where rank <= 5
+"""
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(read(spark, sf_dir, "documents"))
 
@@ -125,5 +139,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_pii": op1_pii, "op2_licences": op2_licences, "op4_chat": op4_chat, "op5_sentencepiece": op5_sentencepiece, "op6_decontamination": op6_decontamination, "op7_url_lists": op7_url_lists, "op9_simhash": op9_simhash, "op10_quality": op10_quality}
-ORACLES: dict[str, str] = {"op4_chat": OP4_SQL, "op7_url_lists": OP7_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_pii": op1_pii, "op2_licences": op2_licences, "op4_chat": op4_chat, "op5_sentencepiece": op5_sentencepiece, "op6_decontamination": op6_decontamination, "op7_url_lists": op7_url_lists, "op8_topk": op8_topk, "op9_simhash": op9_simhash, "op10_quality": op10_quality}
+ORACLES: dict[str, str] = {"op4_chat": OP4_SQL, "op7_url_lists": OP7_SQL, "op8_topk": OP8_SQL}
