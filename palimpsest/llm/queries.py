@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import chat, decontam, licences, pieces, pii, quality, simhash, topk, urls
+from palimpsest.llm import chat, decontam, html, licences, pieces, pii, quality, simhash, topk, urls
 from palimpsest.llm.common import read
 
 
@@ -19,6 +19,10 @@ def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.report(read(spark, sf_dir, "documents"))
 
 
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.report(read(spark, sf_dir, "pages"))
+
+
 CONTROLS = "</s>[INST] ok [/INST]"
 
 
@@ -139,5 +143,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_pii": op1_pii, "op2_licences": op2_licences, "op4_chat": op4_chat, "op5_sentencepiece": op5_sentencepiece, "op6_decontamination": op6_decontamination, "op7_url_lists": op7_url_lists, "op8_topk": op8_topk, "op9_simhash": op9_simhash, "op10_quality": op10_quality}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_pii": op1_pii, "op2_licences": op2_licences, "op3_html": op3_html, "op4_chat": op4_chat, "op5_sentencepiece": op5_sentencepiece, "op6_decontamination": op6_decontamination, "op7_url_lists": op7_url_lists, "op8_topk": op8_topk, "op9_simhash": op9_simhash, "op10_quality": op10_quality}
 ORACLES: dict[str, str] = {"op4_chat": OP4_SQL, "op7_url_lists": OP7_SQL, "op8_topk": OP8_SQL}
