@@ -25,13 +25,14 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-REMEMBERED, PAIRS, LONG = 100_000, 500_000, 64
-MARK = "▁"
+REMEMBERED, PAIRS, CHARS = 200_000, 500_000, 2_000_000
+MARK, ONE = "▁", (1,)
 
 
 def load(path: str = MODEL) -> list[tuple[str, float, str]]:
@@ -54,9 +55,11 @@ class Codec:
         self.byte = {int(p[1:-1], 16): i for i, (p, _, k) in enumerate(pieces) if k == "byte"}
         self.of_byte = {i: b for b, i in self.byte.items()}
         self.raw = [None if k == "byte" else b"" if k == "other" else self.text[i].encode() for i, (_, _, k) in enumerate(pieces)]
-        self.longest: dict[str, int] = {}
+        # How long pieces are that end in these two characters, longest first.
+        sizes: dict[str, set[int]] = {}
         for t in self.ids:
-            self.longest[t[-1]] = max(len(t), self.longest.get(t[-1], 0))
+            sizes.setdefault(t[-2:] if len(t) > 1 else t, {1}).add(len(t))
+        self.sizes = {t: tuple(sorted(x, reverse=True)) for t, x in sizes.items()}
         apart = "".join(c for c in "\n\t\r" if not any(c in t for t in self.ids))
         # Where no piece has a space after another character, words are cut before spaces, and around such characters.
         if any(" " in t.lstrip(" ") for t in self.ids):
@@ -89,7 +92,7 @@ class Codec:
 
     def encode_words(self, words: Iterable[str]) -> dict[str, list[int]]:
         """Ids of each word, by one depth-first pass over their trie."""
-        ids, score, longest, follows = self.ids.get, self.score, self.longest.get, self.follows
+        ids, score, sizes, follows, merges = self.ids.get, self.score, self.sizes.get, self.follows, self.merges
         out: dict[str, list[int]] = {}
         forward, last, start, before = [0.0], [-1], [0], ""
         for word in sorted(words):
@@ -102,16 +105,26 @@ class Codec:
             del forward[shared + 1 :], last[shared + 1 :], start[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
                 best, piece, at = None, -1, end - 1
-                for begin in range(max(0, end - longest(word[end - 1], 1)), end):
+                # Mostly the last piece goes on; as only one piece can be right, finding it so ends the search.
+                if merges and last[-1] >= 0:
+                    begin = start[-1]
                     t = ids(word[begin:end])
-                    if t is None:
-                        continue
-                    if self.merges:
-                        if follows(last[begin], t):
+                    if t is not None and follows(last[begin], t):
+                        best, piece, at = forward[begin] + score[t], t, begin
+                if best is None:
+                    for size in sizes(word[end - 2 : end], ONE) if end > 1 else ONE:
+                        begin = end - size
+                        if begin < 0:
+                            continue
+                        t = ids(word[begin:end])
+                        if t is None:
+                            continue
+                        if not merges:
+                            if best is None or forward[begin] + score[t] > best:
+                                best, piece, at = forward[begin] + score[t], t, begin
+                        elif follows(last[begin], t):
                             best, piece, at = forward[begin] + score[t], t, begin
                             break
-                    elif best is None or forward[begin] + score[t] > best:
-                        best, piece, at = forward[begin] + score[t], t, begin
                 if best is None:
                     best = forward[end - 1] + self.fallback
                 forward.append(best)
@@ -132,12 +145,11 @@ class Codec:
         cut = [self.words(" " + t) if t else [] for t in texts]
         known = self.known
         fresh = {w for ws in cut for w in ws if w not in known}
-        found = known | self.encode_words(fresh) if len(known) + len(fresh) > REMEMBERED else known
-        if found is known:
-            known.update(self.encode_words(fresh))
-        else:
-            self.known = {}
-        return [list(chain.from_iterable([found[w] for w in ws])) for ws in cut]
+        known.update(self.encode_words(fresh))
+        if len(known) > REMEMBERED:  # of words seen before, those of this batch are kept, if these are not too many
+            used = {w: known[w] for ws in cut for w in ws}
+            self.known = used if len(used) <= REMEMBERED else {}
+        return [list(chain.from_iterable([known[w] for w in ws])) for ws in cut]
 
     def decode(self, ids: Iterable[int]) -> str:
         raw, of_byte = self.raw, self.of_byte
@@ -151,6 +163,26 @@ def _lists(ids: list[list[int]]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(flat))
 
 
+_HELD: dict = {}
+
+
+def _codec(pieces) -> Codec:
+    """One codec a worker, for the tasks that it runs one after another."""
+    if pieces.value is not _HELD.get("of"):
+        _HELD.update({"of": pieces.value, "codec": Codec(pieces.value)})
+    return _HELD["codec"]
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of rows whose last column has about ``CHARS`` bytes of text; one row at least."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.columns[-1]), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + CHARS, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def _broadcast(spark: SparkSession, path: str):
     """The vocabulary goes to every task; it is as large as the model says, tens of thousands of short pieces."""
     return spark.sparkContext.broadcast(load(path))
@@ -163,10 +195,9 @@ def encode(docs: DataFrame, text: str = "text", path: str = MODEL) -> DataFrame:
     source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text"))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(pieces.value)
+        codec = _codec(pieces)
         for batch in batches:
-            for at in range(0, batch.num_rows, LONG):
-                part = batch.slice(at, LONG)
+            for part in _slices(batch):
                 texts = part.column(part.num_columns - 1).to_pylist()
                 ids = codec.encode(texts)
                 same = [codec.decode(x) == (t or "") for x, t in zip(ids, texts, strict=True)]
@@ -184,7 +215,7 @@ def decode(df: DataFrame, ids: str = "ids", into: str = "text", path: str = MODE
     source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{ids}`").alias("__ids"))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(pieces.value)
+        codec = _codec(pieces)
         for batch in batches:
             texts = pa.array([codec.decode(x.as_py() or ()) for x in batch.columns[-1]], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], texts], [*keep, into])
