@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm import chat, decontam, html, licences, pieces, pii, quality, simhash, topk, urls
 from palimpsest.llm.common import read
+from palimpsest.llm.pii_sql import SQL as OP1_SQL
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,4 +145,4 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_pii": op1_pii, "op2_licences": op2_licences, "op3_html": op3_html, "op4_chat": op4_chat, "op5_sentencepiece": op5_sentencepiece, "op6_decontamination": op6_decontamination, "op7_url_lists": op7_url_lists, "op8_topk": op8_topk, "op9_simhash": op9_simhash, "op10_quality": op10_quality}
-ORACLES: dict[str, str] = {"op4_chat": OP4_SQL, "op7_url_lists": OP7_SQL, "op8_topk": OP8_SQL}
+ORACLES: dict[str, str] = {"op1_pii": OP1_SQL, "op4_chat": OP4_SQL, "op7_url_lists": OP7_SQL, "op8_topk": OP8_SQL}

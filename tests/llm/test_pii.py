@@ -1,7 +1,8 @@
 import hashlib
 import re
+import shutil
 
-from palimpsest.llm import pii
+from palimpsest.llm import pii, queries
 
 BASE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -65,6 +66,18 @@ def test_method_adds_iban_and_ssn(spark):
     assert got[15].scores.split(",")[0] == "1.0"
 
 
+def test_query_equals_sql(spark, agree):
+    assert agree(queries.op1_pii(spark, "/root/testdata/sf0.01"), queries.ORACLES["op1_pii"], "/root/testdata/sf0.01") == 1000
+
+
+def test_sql_on_hard_texts(spark, agree, tmp_path):
+    rows = [(i, t) for i, t in enumerate(TEXTS) if t is None or len(t) < 1000]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/x")
+    shutil.copytree("/root/testdata/sf0.001", f"{tmp_path}/sf", ignore=lambda *_: ["documents.parquet"])
+    shutil.copy(next((tmp_path / "x").glob("*.parquet")), f"{tmp_path}/sf/documents.parquet")
+    assert agree(queries.op1_pii(spark, f"{tmp_path}/sf"), queries.ORACLES["op1_pii"], f"{tmp_path}/sf") == len(rows)
+
+
 def test_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
