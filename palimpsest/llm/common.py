@@ -5,6 +5,10 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A key is hot if at least this part of all rows has it.
+HOT = 1000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -24,8 +28,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def one_per(df: DataFrame, key: str) -> DataFrame:
-    """Rows as they are; raises early if ``key`` is missing, which Spark would report less clearly."""
-    if key not in df.columns:
-        raise ValueError(f"column {key} is missing; there are {df.columns}")
-    return df
+def looked_up(rows: DataFrame, facts: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` with the columns of ``facts``, which has each ``key`` once and how many rows have it, n.
+
+    Keys of at least a ``HOT``-th of all rows, of which there are ``HOT`` at most, are broadcast; the others are joined
+    by shuffle, where no key is as frequent.
+    """
+    often = max(2, total // HOT)
+    hot = F.broadcast(facts.where(F.col("n") >= often).drop("n"))
+    rest = rows.join(hot, key, "left_anti").join(facts.where(F.col("n") < often).drop("n"), key)
+    return rows.join(hot, key).unionByName(rest)

@@ -29,13 +29,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import cut
+from palimpsest.llm.common import cut, looked_up
 from palimpsest.llm.components import components
 
 WORDS, SEED, BITS = 3, 42, 2
 #: Longest posting list that is turned into pairs; longer ones are linked through stars.
 BUCKET = 16
-PIECE, HOT = 1 << 16, 1000
+PIECE = 1 << 16
 SHARED = 8 - BITS
 _BITS_OF = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _OFFSETS = np.arange(8, dtype=np.int64) * 256
@@ -110,18 +110,6 @@ def links(distinct: DataFrame) -> DataFrame:
     return _pairs(met.where(F.col("n") <= BUCKET)).union(_stars(met.where(F.col("n") > BUCKET).select("fp").distinct()))
 
 
-def _looked_up(rows: DataFrame, facts: DataFrame, key: str, total: int) -> DataFrame:
-    """``rows`` with the columns of ``facts``, which has each ``key`` once and how many rows have it, n.
-
-    Keys of at least a ``HOT``-th of all rows, of which there are ``HOT`` at most, are broadcast; the others are joined
-    by shuffle, where no key is as frequent.
-    """
-    often = max(2, total // HOT)
-    hot = F.broadcast(facts.where(F.col("n") >= often).drop("n"))
-    rest = rows.join(hot, key, "left_anti").join(facts.where(F.col("n") < often).drop("n"), key)
-    return rows.join(hot, key).unionByName(rest)
-
-
 def groups(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(doc_id, fp, component_id) of each document; component_id is the least doc_id reachable over links."""
     prints = cut(fingerprints(docs, words))
@@ -129,9 +117,9 @@ def groups(docs: DataFrame, words: int = WORDS) -> DataFrame:
     linked = components(links(distinct.select("fp")))
     linked = cut(linked.join(distinct, linked.node == distinct.fp).select("fp", "component", "low"))
     least = linked.groupBy("component").agg(F.min("low").alias("component_id"), F.count("*").alias("n"))
-    least = _looked_up(linked.select("fp", "component"), least, "component", linked.count()).drop("component")
+    least = looked_up(linked.select("fp", "component"), least, "component", linked.count()).drop("component")
     named = distinct.join(least, "fp", "left").select("fp", "n", F.coalesce("component_id", "low").alias("component_id"))
-    return _looked_up(prints, cut(named), "fp", prints.count()).select("doc_id", "fp", "component_id")
+    return looked_up(prints, cut(named), "fp", prints.count()).select("doc_id", "fp", "component_id")
 
 
 def report(docs: DataFrame) -> DataFrame:
