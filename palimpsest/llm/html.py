@@ -36,7 +36,7 @@ from palimpsest.llm.common import cut
 from palimpsest.llm.urls import host
 
 #: Hosts whose partial wrappers a task holds before it hands them on; bytes of wrappers that are broadcast at most.
-HELD, SMALL = 500, 16_000_000
+HELD, SMALL, SALTS = 500, 16_000_000, 64
 TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*>?|</?[a-zA-Z][^\s/>]*(?:\"[^\"]*\"|'[^']*'|[^'\">])*>?|[^<]+|<", re.S)
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 MARK = re.compile(r"\b(?:class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
@@ -282,7 +282,6 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _unite(pdf: pd.DataFrame) -> pd.DataFrame:
-    """A few rows for each task that met the host."""
     whole = Wrapper()
     for n, text in enumerate(sorted(pdf["wrapper"])):
         part = Wrapper(json.loads(text))
@@ -291,9 +290,14 @@ def _unite(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, wrapper, expression) of each host."""
+    """(host, wrapper, expression) of each host.
+
+    Every task that met a host gives partial wrappers of it; these are united in ``SALTS`` groups, then these.
+    """
     named = pages.select(F.coalesce(host(F.col("url")), F.lit("")).alias("host"), "html")
-    return named.mapInArrow(_fold, "host string, wrapper string").groupBy("host").applyInPandas(_unite, "host string, wrapper string, expression string")
+    schema = "host string, wrapper string, expression string"
+    parts = named.mapInArrow(_fold, "host string, wrapper string").withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
+    return parts.groupBy("host", "salt").applyInPandas(_unite, schema).groupBy("host").applyInPandas(_unite, schema)
 
 
 def report(pages: DataFrame) -> DataFrame:
