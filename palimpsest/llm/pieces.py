@@ -20,8 +20,8 @@ Defined results
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-REMEMBERED, PAIRS, CHARS = 200_000, 500_000, 2_000_000
+REMEMBERED, PAIRS, CHARS = 400_000, 1_000_000, 4_000_000
 MARK, ONE = "▁", (1,)
 
 
@@ -54,7 +54,8 @@ class Codec:
         self.ids = {self.text[i]: i for i, (_, _, k) in enumerate(pieces) if k == "piece"}
         self.byte = {int(p[1:-1], 16): i for i, (p, _, k) in enumerate(pieces) if k == "byte"}
         self.of_byte = {i: b for b, i in self.byte.items()}
-        self.raw = [None if k == "byte" else b"" if k == "other" else self.text[i].encode() for i, (_, _, k) in enumerate(pieces)]
+        self.raw = [bytes((self.of_byte[i],)) if k == "byte" else b"" if k == "other" else self.text[i].encode() for i, (_, _, k) in enumerate(pieces)]
+        self.table = pa.array(self.raw, pa.binary())
         # How long pieces are that end in these two characters, longest first.
         sizes: dict[str, set[int]] = {}
         for t in self.ids:
@@ -66,7 +67,7 @@ class Codec:
             raise ValueError("a piece of this vocabulary reaches across words")
         self.words = re.compile(rf" *[^ {apart}]+| +|[{apart}]" if apart else " *[^ ]+| +").findall
         self.pairs: dict[int, bool] = {}
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
         self.fallback = min(self.score[i] for i in self.ids.values()) - 10
 
     def merged(self, text: str) -> list[str]:
@@ -90,10 +91,10 @@ class Codec:
             known = self.pairs[key] = self.merged("".join([*head, self.text[piece]])) == [*head, self.text[piece]]
         return known
 
-    def encode_words(self, words: Iterable[str]) -> dict[str, list[int]]:
-        """Ids of each word, by one depth-first pass over their trie."""
-        ids, score, sizes, follows, merges = self.ids.get, self.score, self.sizes.get, self.follows, self.merges
-        out: dict[str, list[int]] = {}
+    def encode_words(self, words: Iterable[str]) -> dict[str, bytes]:
+        """Ids of each word as packed 32-bit numbers, by one depth-first pass over their trie."""
+        ids, score, sizes, pairs, follows, merges = self.ids.get, self.score, self.sizes.get, self.pairs, self.follows, self.merges
+        out: dict[str, bytes] = {}
         forward, last, start, before = [0.0], [-1], [0], ""
         for word in sorted(words):
             shared, most = 0, min(len(word), len(before))
@@ -103,15 +104,19 @@ class Codec:
                 while shared < most and word[shared] == before[shared]:
                     shared += 1
             del forward[shared + 1 :], last[shared + 1 :], start[shared + 1 :]
+            piece, at = last[-1], start[-1]
             for end in range(shared + 1, len(word) + 1):
-                best, piece, at = None, -1, end - 1
+                best = None
                 # Mostly the last piece goes on; as only one piece can be right, finding it so ends the search.
-                if merges and last[-1] >= 0:
-                    begin = start[-1]
-                    t = ids(word[begin:end])
-                    if t is not None and follows(last[begin], t):
-                        best, piece, at = forward[begin] + score[t], t, begin
+                if merges and piece >= 0:
+                    t = ids(word[at:end])
+                    if t is not None:
+                        p = last[at]
+                        ok = pairs.get((p + 1) << 32 | t)
+                        if follows(p, t) if ok is None else ok:
+                            best, piece = forward[at] + score[t], t
                 if best is None:
+                    piece, at = -1, end - 1
                     for size in sizes(word[end - 2 : end], ONE) if end > 1 else ONE:
                         begin = end - size
                         if begin < 0:
@@ -122,11 +127,14 @@ class Codec:
                         if not merges:
                             if best is None or forward[begin] + score[t] > best:
                                 best, piece, at = forward[begin] + score[t], t, begin
-                        elif follows(last[begin], t):
+                            continue
+                        p = last[begin]
+                        ok = pairs.get((p + 1) << 32 | t)
+                        if follows(p, t) if ok is None else ok:
                             best, piece, at = forward[begin] + score[t], t, begin
                             break
-                if best is None:
-                    best = forward[end - 1] + self.fallback
+                    if best is None:
+                        best = forward[end - 1] + self.fallback
                 forward.append(best)
                 last.append(piece)
                 start.append(at)
@@ -137,30 +145,41 @@ class Codec:
                 else:
                     found.extend(self.byte[b] for b in reversed(word[end - 1].encode()))
                 end = start[end]
-            out[word] = found[::-1]
+            found.reverse()
+            out[word] = array("i", found).tobytes()
             before = word
         return out
 
-    def encode(self, texts: list[str | None]) -> list[list[int]]:
+    def packed(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text, packed."""
         cut = [self.words(" " + t) if t else [] for t in texts]
         known = self.known
-        fresh = {w for ws in cut for w in ws if w not in known}
-        known.update(self.encode_words(fresh))
+        known.update(self.encode_words({w for ws in cut for w in ws if w not in known}))
         if len(known) > REMEMBERED:  # of words seen before, those of this batch are kept, if these are not too many
             used = {w: known[w] for ws in cut for w in ws}
             self.known = used if len(used) <= REMEMBERED else {}
-        return [list(chain.from_iterable([known[w] for w in ws])) for ws in cut]
+        return [b"".join([known[w] for w in ws]) for ws in cut]
+
+    def encode(self, texts: list[str | None]) -> list[list[int]]:
+        return [np.frombuffer(x, np.int32).tolist() for x in self.packed(texts)]
 
     def decode(self, ids: Iterable[int]) -> str:
-        raw, of_byte = self.raw, self.of_byte
-        joined = b"".join([x if (x := raw[i]) is not None else bytes((of_byte[i],)) for i in ids])
+        raw = self.raw
+        joined = b"".join([raw[i] for i in ids])
         return joined[1:].decode("utf-8", "replace") if joined[:1] == b" " else joined.decode("utf-8", "replace")
 
 
-def _lists(ids: list[list[int]]) -> pa.ListArray:
-    sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-    flat = np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum()))
-    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(flat))
+def _lists(packed: list[bytes]) -> pa.ListArray:
+    offsets = np.concatenate(([0], np.cumsum([len(x) for x in packed], dtype=np.int64))) // 4
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(packed), np.int32)))
+
+
+def _lossless(codec: Codec, ids: pa.ListArray, texts: pa.Array) -> pa.Array:
+    """Whether the pieces of each row, joined, are its text after one space; no text has no pieces."""
+    joined = pc.binary_join(pa.ListArray.from_arrays(ids.offsets, codec.table.take(ids.values)), b"")
+    texts = pc.fill_null(texts.cast(pa.binary()), b"")
+    marked = pc.binary_join_element_wise(pa.scalar(b" ", pa.binary()), texts, pa.scalar(b"", pa.binary()))
+    return pc.equal(joined, pc.if_else(pc.equal(texts, b""), texts, marked))
 
 
 _HELD: dict = {}
@@ -198,10 +217,9 @@ def encode(docs: DataFrame, text: str = "text", path: str = MODEL) -> DataFrame:
         codec = _codec(pieces)
         for batch in batches:
             for part in _slices(batch):
-                texts = part.column(part.num_columns - 1).to_pylist()
-                ids = codec.encode(texts)
-                same = [codec.decode(x) == (t or "") for x, t in zip(ids, texts, strict=True)]
-                columns = [*part.columns[:-1], _lists(ids), pa.array([len(x) for x in ids], pa.int64()), pa.array(same)]
+                texts = part.columns[-1]
+                ids = _lists(codec.packed(texts.to_pylist()))
+                columns = [*part.columns[:-1], ids, pc.list_value_length(ids).cast(pa.int64()), _lossless(codec, ids, texts)]
                 yield pa.RecordBatch.from_arrays(columns, [*keep, "ids", "n_tokens", "lossless"])
 
     new = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("lossless", T.BooleanType())]
