@@ -49,7 +49,7 @@ ENDS_P = BLOCK - frozenset("body caption dd dt head html legend optgroup option
 IMPLIED = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "body": ("head",)}
 FENCE = frozenset("ul ol dl table select article section div body html".split())
 BAD_TAGS = frozenset("nav aside footer form script style noscript template iframe svg canvas object button select textarea dialog head title menu audio video".split())
-BAD_WORDS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus discussion hidden masthead menu modal nav navbar navigation newsletter notice notices pagination pager popup promo promoted promotion related reply replies respond share sharing sidebar site-footer site-header skip social sponsor sponsored subscribe toolbar widget".split())
+BAD_WORDS = frozenset("ad ads advert adverts advertisement advertising alert aside banner breadcrumb breadcrumbs comment commentlist comments complementary consent contentinfo cookie cookies dialog disqus discussion footer gdpr hidden login masthead menu modal nav navbar navigation newsletter notice notices pagination pager popup promo promoted promotion related reply replies respond search share sharing sidebar sidenav signup skip social sponsor sponsored subscribe toolbar topbar topnav widget".split())
 GOOD_WORDS = frozenset("article articlebody content entry main post story text".split())
 ROOT = ""
 
@@ -222,10 +222,14 @@ def _parts(path: str) -> tuple[str, set[str]]:
 
 
 def _bad(path: str) -> bool:
+    """Whether an element is no part of an article, by its name and words; headers are, inside of one."""
     name, words = _parts(path)
-    if name in BAD_TAGS or name == "header" and not any(q.rpartition(">")[2].split(".")[0] in ("article", "main") for q in _up(path)):
+    words = words.union(*(re.split(r"[-_]+", w) for w in words))
+    if name in BAD_TAGS:
         return True
-    return name not in ("html", "body", "article", "main") and any(w in BAD_WORDS or not BAD_WORDS.isdisjoint(re.split(r"[-_]+", w)) for w in words)
+    if name == "header" or "header" in words:
+        return not words & GOOD_WORDS and not any(q.rpartition(">")[2].split(".")[0] in ("article", "main") for q in _up(path))
+    return name not in ("html", "body", "article", "main") and not BAD_WORDS.isdisjoint(words)
 
 
 def text_of(page: list[tuple[str, int, str, int]], region: tuple[str, ...], out: frozenset[str], mute: frozenset[str]) -> str:

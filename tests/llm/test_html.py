@@ -42,6 +42,13 @@ def test_rich_page():
     assert html.extract(RICH[:-60], wrapper) == want
 
 
+def test_words_of_elements():
+    page = """<body><div class="site-header">S</div><div id=footer>F</div><div role="navigation">N</div><div class="article-header">no</div><div class=entry>
+      <div class="entry-header"><h1>Title</h1></div><p>Text</p><ol class="comment-list"><li>C</ol><div class="newsletter_box">B</div></div><div class="col ad_slot">A</div></body>"""
+    assert html.extract(page) == "Title\nText"
+    assert html.extract(page.replace("<div class=entry>", "<article>").replace("</div><div class=\"col", "</article><div class=\"col")) == "Title\nText"
+
+
 def test_alignment():
     a = html.Wrapper.of(html.parse("<body><h1>x</h1><p>1</p><p>2</p></body>"))
     b = html.Wrapper.of(html.parse("<body><h1>y</h1><div>new</div><p>1</p></body>"))
