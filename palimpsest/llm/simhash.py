@@ -29,6 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.llm import copies
 from palimpsest.llm.common import cut, looked_up
 from palimpsest.llm.components import components
 
@@ -113,8 +114,13 @@ def links(distinct: DataFrame) -> DataFrame:
 def groups(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(doc_id, fp, component_id) of each document; component_id is the least doc_id reachable over links."""
     prints = cut(fingerprints(docs, words))
+    return grouped(prints, links(prints.select("fp").distinct()))
+
+
+def grouped(prints: DataFrame, linked: DataFrame) -> DataFrame:
+    """(doc_id, fp, component_id) of ``prints`` (doc_id, fp), by links (a, b) between values of fp."""
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n"))
-    linked = components(links(distinct.select("fp")))
+    linked = components(linked)
     linked = cut(linked.join(distinct, linked.node == distinct.fp).select("fp", "component", "low"))
     least = linked.groupBy("component").agg(F.min("low").alias("component_id"), F.count("*").alias("n"))
     least = looked_up(linked.select("fp", "component"), least, "component", linked.count()).drop("component")
@@ -127,10 +133,13 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """``docs`` without near-copies: of each group the document with the least doc_id stays, once.
+    """``docs`` without near-copies by ``copies``: of each group the document with the least doc_id stays, once.
 
     Documents whose doc_id is null can't be told apart by it; they stay.
     """
-    keep = groups(docs).where("doc_id = component_id").select("doc_id").distinct()
+    prints = cut(copies.signatures(docs))
+    distinct = prints.groupBy("fp").agg(F.first("size").alias("size"), F.first("keys").alias("keys"))
+    near = grouped(prints.select("doc_id", "fp"), copies.links(docs, distinct))
+    keep = near.where("doc_id = component_id").select("doc_id").distinct()
     named = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.select(*docs.columns).union(docs.where("doc_id is null"))
