@@ -51,6 +51,8 @@ FENCE = frozenset("ul ol dl table select article section div body html".split())
 BAD_TAGS = frozenset("nav aside footer form script style noscript template iframe svg canvas object button select textarea dialog head title menu audio video".split())
 BAD_WORDS = frozenset("ad ads advert adverts advertisement advertising alert aside banner breadcrumb breadcrumbs comment commentlist comments complementary consent contentinfo cookie cookies dialog disqus discussion footer gdpr hidden login masthead menu modal nav navbar navigation newsletter notice notices pagination pager popup promo promoted promotion related reply replies respond search share sharing sidebar sidenav signup skip social sponsor sponsored subscribe toolbar topbar topnav widget".split())
 GOOD_WORDS = frozenset("article articlebody content entry main post story text".split())
+#: Beside another word, these tell a state of the page and not what an element is.
+STATE_FIRST, STATE_LAST = frozenset("has no not with without is".split()), frozenset("free open opened closed enabled disabled active".split())
 ROOT = ""
 
 
@@ -185,23 +187,47 @@ class Wrapper:
 
         return show(ROOT)
 
+    def _bad_parts(self, kinds: tuple) -> set[str]:
+        """Elements that are no part of an article by name or words, but not what the article itself stands in.
+
+        While no article or main is clear, one around them with over half of the host's text (of several pages, the text
+        that differs) is a layout; so is, where nothing is marked as content, one with over half of the text that differs.
+        """
+        bad = {p for p in self.nodes if p != ROOT and _bad(p)}
+        differs = {p: n[2] for p, n in self.nodes.items() if n[2] and n[4] is None}
+        texts = differs or {p: n[2] for p, n in self.nodes.items() if n[2]}
+        strong = [p for p in self.nodes if p != ROOT and any(k(*_parts(p)) for k in kinds[:2])]
+        while bad:
+            clear = [p for p in self.nodes if p != ROOT and bad.isdisjoint(_up(p))]
+            marked = any(k(*_parts(p)) for k in kinds for p in clear)
+            if any(p in strong for p in clear) or not strong and (marked or not differs):
+                break
+            below = lambda p, q: q.startswith(p + ">")
+            around = lambda p: _parts(p)[0] not in BAD_TAGS - {"form"} and (not strong or any(below(p, q) for q in strong))
+            size = lambda p: sum(n for q, n in texts.items() if q == p or below(p, q))
+            tops = [p for p in bad if bad.isdisjoint(_up(p)[:-1]) and around(p) and 2 * size(p) > sum(texts.values())]
+            if not tops:
+                break
+            bad.remove(tops[0])
+        return bad
+
     def labels(self) -> tuple[tuple[str, ...], frozenset[str], frozenset[str]]:
         """Paths of the data region; paths that are cut out of it, with all below; paths whose own texts are left out."""
-        bad = {p for p in self.nodes if p != ROOT and _bad(p)}
         within = lambda p, roots: any(p == r or p.startswith(r + ">") for r in roots)
-        clear = [p for p in self.nodes if p != ROOT and not any(_bad(q) for q in _up(p))]
         kinds = (
             lambda n, w: n == "article",
             lambda n, w: n == "main" or "main" in w and n in ("div", "section"),
             lambda n, w: n in ("div", "section", "td") and bool(w & GOOD_WORDS),
         )
+        bad = self._bad_parts(kinds)
+        clear = [p for p in self.nodes if p != ROOT and bad.isdisjoint(_up(p))]
         for kind in kinds:
             found = [p for p in clear if kind(*_parts(p))]
             if found:
                 tops = [p for p in found if not any(within(p, (q,)) for q in found if q != p)]
                 if kind is kinds[0]:
                     return tuple(tops), frozenset(bad), frozenset()
-                size = lambda r: sum(n[2] for p, n in self.nodes.items() if within(p, (r,)) and not any(_bad(q) for q in _up(p)))
+                size = lambda r: sum(n[2] for p, n in self.nodes.items() if within(p, (r,)) and bad.isdisjoint(_up(p)))
                 return (max(tops, key=size),), frozenset(bad), frozenset()
         pages = self.nodes[ROOT][0]
         same = {p for p, n in self.nodes.items() if n[2] and n[4] is not None and n[0] > 1 and n[0] == pages and any(m[4] is None for m in self.nodes.values())}
@@ -224,7 +250,8 @@ def _parts(path: str) -> tuple[str, set[str]]:
 def _bad(path: str) -> bool:
     """Whether an element is no part of an article, by its name and words; headers are, inside of one."""
     name, words = _parts(path)
-    words = words.union(*(re.split(r"[-_]+", w) for w in words))
+    halves = [re.split(r"[-_]+", w) for w in words]
+    words = words.union(*(h for h in halves if len(h) < 2 or h[0] not in STATE_FIRST and h[-1] not in STATE_LAST))
     if name in BAD_TAGS:
         return True
     if name == "header" or "header" in words:

@@ -78,3 +78,26 @@ def test_odd_rows(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
     assert html.report(pages).count() == len(rows) and html.report(pages.limit(0)).collect() == []
     assert all("<article>" in r.expression or r.host == "" for r in html.wrappers(pages).collect())
+
+
+def united(*pages):
+    whole = html.Wrapper.of(html.parse(pages[0]))
+    for page in pages[1:]:
+        whole = whole.align(html.Wrapper.of(html.parse(page)))
+    return whole
+
+
+@pytest.mark.parametrize("words", ["layout has-sidebar", "content no-sidebar", "nav-open", "ad-free", "no-comments", "search-page", "with_banner", "share-enabled"])
+def test_layout_around_the_article(words):
+    page = lambda t: f"<body><div class='{words}'><nav>menu</nav><article><p>{t}</p></article><div class=comments><article>{t * 9}</article></div></div></body>"
+    pages = [page("one text"), page("another"), page("third")]
+    assert html.extract(pages[0]) == "one text"
+    assert html.extract(pages[0], united(*pages)) == "one text"
+
+
+def test_layout_around_texts_that_differ():
+    page = lambda t: f"<body><div class=search-page><p>{t}</p><div class=search-box>find</div></div><div class=ad>buy</div></body>"
+    pages = [page("one text"), page("another"), page("third")]
+    assert html.extract(pages[0], united(*pages)) == "one text"
+    assert html.extract("<body><div class=content>text</div><aside><article>teaser of more than half</article></aside></body>") == "text"
+    assert html.extract("<body><form class=x><article>text</article></form></body>") == "text"
