@@ -7,10 +7,10 @@ between its occurrences is optional in it), and texts that differ become a slot.
 folded where they lie; the partial expressions of a host are then aligned with each other, which is the same step, so
 a host may have any number of pages and every page takes part.
 
-The wrapper is labelled once for the host: the article (or, if the host has none, the main part, or the content
-element with most text, or the body) is its data region; menus, headers and footers outside an article, sidebars,
-notices, adverts, forms, comments and code are not, and in a body without any such mark neither are texts that are the
-same on all of several different pages, nor blocks that are links alone. Every page is then read through the labels.
+The wrapper is labelled once for the host: the articles (or, if the host has none, the main parts, or the content
+elements, or the body) are its data region; menus, headers and footers outside an article, sidebars, notices, adverts,
+forms, comments and code are not, and in a body without any such mark neither are texts that are the same on all of
+several different articles, nor list items and cells that are links alone in lists that mostly are. Every page is then read through the labels.
 
 Defined results
     null and empty html: empty text. Pages without a host (null or odd urls) share one wrapper. A page that lacks its
@@ -37,6 +37,8 @@ from palimpsest.llm.urls import host
 
 #: Hosts whose partial wrappers a task holds before it hands them on; bytes of wrappers that are broadcast at most.
 HELD, SMALL, SALTS = 500, 16_000_000, 64
+#: Different texts that show a host's pages to be different articles, if they are at least one part in ``PART`` of what is the same.
+SEVERAL, PART = 3, 4
 TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*>?|</?[a-zA-Z][^\s/>]*(?:\"[^\"]*\"|'[^']*'|[^'\">])*>?|[^<]+|<", re.S)
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 MARK = re.compile(r"\b(?:class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
@@ -130,16 +132,19 @@ def parse(html: str) -> list[tuple[str, int, str, int]]:
 
 
 class Wrapper:
-    """nodes: path -> [pages, most copies, characters, characters in links, digest of its text or None]; in order."""
+    """nodes: path -> [pages, most copies, characters, characters in links, digest of its text or None, digests]; in order.
+
+    Of the digests there are as many as are needed to tell whether they are ``SEVERAL``.
+    """
 
     def __init__(self, nodes: dict[str, list] | None = None):
         self.nodes = nodes if nodes is not None else {}
 
     @classmethod
     def of(cls, page: list[tuple[str, int, str, int]]) -> Wrapper:
-        nodes: dict[str, list] = {ROOT: [1, 1, 0, 0, 0]}
+        nodes: dict[str, list] = {ROOT: [1, 1, 0, 0, 0, []]}
         for path, _, text, copy in page:
-            node = nodes.setdefault(path, [1, 1, 0, 0, 0])
+            node = nodes.setdefault(path, [1, 1, 0, 0, 0, []])
             if copy > node[1]:
                 node[1] = copy
             if text and (text := text.strip()):
@@ -147,6 +152,9 @@ class Wrapper:
                 node[4] = zlib.crc32(text.encode("utf-8", "replace"), node[4])
                 if ">a" in path and any(p == "a" or p.startswith("a.") for p in path.split(">")):
                     node[3] += len(text)
+        for node in nodes.values():
+            if node[2]:
+                node[5] = [node[4]]
         return cls(nodes)
 
     def align(self, other: Wrapper) -> Wrapper:
@@ -163,7 +171,7 @@ class Wrapper:
         nodes: dict[str, list] = {}
         for path, a in mine.items():
             b = theirs.get(path)
-            nodes[path] = a if b is None else [a[0] + b[0], max(a[1], b[1]), a[2] + b[2], a[3] + b[3], a[4] if a[4] == b[4] else None]
+            nodes[path] = a if b is None else [a[0] + b[0], max(a[1], b[1]), a[2] + b[2], a[3] + b[3], a[4] if a[4] == b[4] else None, a[5] if a[5] == b[5] else sorted({*a[5], *b[5]})[:SEVERAL]]
             for extra in late.get(path, ()):
                 nodes[extra] = theirs[extra]
         for extra in late.get(None, ()):
@@ -211,6 +219,11 @@ class Wrapper:
             bad.remove(tops[0])
         return bad
 
+    def _text(self, path: str) -> tuple[int, int]:
+        """Characters of an element with all below, and those of them in links."""
+        found = [n for p, n in self.nodes.items() if p == path or p.startswith(path + ">")]
+        return sum(n[2] for n in found), sum(n[3] for n in found)
+
     def labels(self) -> tuple[tuple[str, ...], frozenset[str], frozenset[str]]:
         """Paths of the data region; paths that are cut out of it, with all below; paths whose own texts are left out."""
         within = lambda p, roots: any(p == r or p.startswith(r + ">") for r in roots)
@@ -225,13 +238,22 @@ class Wrapper:
             found = [p for p in clear if kind(*_parts(p))]
             if found:
                 tops = [p for p in found if not any(within(p, (q,)) for q in found if q != p)]
-                if kind is kinds[0]:
-                    return tuple(tops), frozenset(bad), frozenset()
-                size = lambda r: sum(n[2] for p, n in self.nodes.items() if within(p, (r,)) and bad.isdisjoint(_up(p)))
-                return (max(tops, key=size),), frozenset(bad), frozenset()
+                return tuple(tops), frozenset(bad), frozenset()
         pages = self.nodes[ROOT][0]
-        same = {p for p, n in self.nodes.items() if n[2] and n[4] is not None and n[0] > 1 and n[0] == pages and any(m[4] is None for m in self.nodes.values())}
-        linked = {p for p, n in self.nodes.items() if n[2] and n[3] == n[2] and p.rpartition(">")[0].rpartition(">")[2].split(".")[0] in ("li", "td")}
+        plain = {p: n for p, n in self.nodes.items() if n[2] and bad.isdisjoint(_up(p))}
+        same = {p for p, n in plain.items() if n[4] is not None and n[0] > 1 and n[0] == pages}
+        # Copies of one article with another menu, date or advert differ, too.
+        several = sum(n[2] - n[3] for n in plain.values() if len(n[5]) >= SEVERAL)
+        if not several or PART * several < sum(plain[p][2] - plain[p][3] for p in same):
+            same = set()
+        linked = set()
+        for p, n in self.nodes.items():
+            item = p.rpartition(">")[0]
+            if n[2] and n[3] == n[2] and item and _parts(item)[0] in ("li", "td"):
+                chars, links = self._text(item)
+                most, of = self._text(item.rpartition(">")[0])
+                if chars == links and 2 * of > most:
+                    linked.add(p)
         body = [p for p in clear if _parts(p)[0] == "body"][:1] or [ROOT]
         return tuple(body), frozenset(bad), frozenset(same | linked)
 

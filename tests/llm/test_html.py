@@ -101,3 +101,21 @@ def test_layout_around_texts_that_differ():
     assert html.extract(pages[0], united(*pages)) == "one text"
     assert html.extract("<body><div class=content>text</div><aside><article>teaser of more than half</article></aside></body>") == "text"
     assert html.extract("<body><form class=x><article>text</article></form></body>") == "text"
+
+
+def test_links_among_text():
+    assert html.extract("<body><ul><li>See the <a href=x>docs</a> for more<li>and <a href=y>this</a></ul><ul class=m><li><a href=z>Home</a></ul></body>") == "See the docs for more\nand this"
+    assert html.extract("<body><ul><li>x</li><li class=y><a href=x>short</a></li><li class=z>a long item of text</li></ul></body>") == "x\nshort\na long item of text"
+
+
+def test_copies_of_one_article():
+    page = lambda date, menu: f"<body><div class=when>{date}</div><ul><li><a href=x>{menu}</a></li></ul><p>The same article in all captures, of one line.</p></body>"
+    pages = [page(f"{n} May", f"menu {n}") for n in range(5)]
+    assert html.extract(pages[0], united(*pages)) == "0 May\nThe same article in all captures, of one line."
+    assert "The same article" in html.extract(pages[1], united(*pages[:2]))
+
+
+def test_all_content_regions():
+    page = "<body><div class=entry><p>much longer text</p></div><div class=content><p>other</p></div><div>rest</div></body>"
+    assert html.extract(page) == "much longer text\nother"
+    assert html.extract("<body><div class=main>a b c</div><section class=main>d</section></body>") == "a b c\nd"
