@@ -1,5 +1,7 @@
 import html as std
+import random
 import re
+import time
 
 import pytest
 
@@ -56,15 +58,12 @@ def test_alignment():
         e = w.expression()
         assert "<h1>#</>" in e and "(<div></>)?" in e and "(<p>#</>)+" in e
         assert e.index("h1") < e.index("div") < e.index("<p>")
-        assert w.nodes[">body>h1"][0] == 2 and w.nodes[">body>div"][0] == 1
+        assert w.pages == 2 and "(<h1>" not in e
 
 
 def test_pages_without_an_article():
     page = lambda t, more="": f"<body><div class='menu'>M</div><div>Welcome to our site</div><div><p>{t}</p>{more}</div><ul><li><a href=x>Home</a></li></ul></body>"
-    whole = html.Wrapper()
-    for n, t in enumerate(("first text", "second text", "third")):
-        new = html.Wrapper.of(html.parse(page(t)))
-        whole = whole.align(new) if n else new
+    whole = united(*map(page, ("first text", "second text", "third")))
     assert html.extract(page("first text", "<p>tail</p>"), whole) == "first text\ntail"
     assert html.extract("<body><main><p>a</p></main><p>b</p></body>") == "a"
     assert html.extract("<body><div id='content'><p>a</p></div><p>b</p></body>") == "a"
@@ -119,3 +118,65 @@ def test_all_content_regions():
     page = "<body><div class=entry><p>much longer text</p></div><div class=content><p>other</p></div><div>rest</div></body>"
     assert html.extract(page) == "much longer text\nother"
     assert html.extract("<body><div class=main>a b c</div><section class=main>d</section></body>") == "a b c\nd"
+
+
+def best(a, b):
+    """The greatest value of any common subsequence of two lists of (key, kinds), by trying all."""
+    if not a or not b:
+        return 0
+    here = 0 if a[0][0] != b[0][0] else 3 if html.alike(a[0][1], b[0][1]) else 2
+    return max(best(a[1:], b), best(a, b[1:]), here + best(a[1:], b[1:]) if here else 0)
+
+
+def test_alignment_equals_brute_force():
+    random.seed(8)
+    some = ["<p>{}</p>", "<div><p>{}</p></div>", "<div><ul><li>{}</ul></div>", "<h2>{}</h2>", "<div>{}</div>"]
+    for _ in range(300):
+        pages = ["".join(random.choice(some).format(random.random()) for _ in range(random.randint(0, 7))) for _ in range(2)]
+        a, b = (html.grown(html.parse(x)).units for x in pages)
+        listed = [[(*u.of, *(n.kinds() for n in u.of.values())) for u in units if not u.repeated] for units in (a, b)]
+        pairs = html.paired(a, b)
+        assert all(x < y for p, q in zip(pairs, pairs[1:]) for x, y in zip(p, q)) or any(u.repeated for u in a + b)
+        if len(listed[0]) == len(a) and len(listed[1]) == len(b):
+            assert sum(html.fits(a[i], b[j]) for i, j in pairs) == best(*listed), pages
+
+
+def test_mismatches_are_resolved():
+    of = lambda *bodies: united(*(f"<body>{b}</body>" for b in bodies)).expression()
+    assert of("<h1>a</h1><p>b</p>", "<h1>c</h1><p>b</p>") == "<body><h1>#</><p></></>"
+    assert of("<h1>a</h1><p>b</p>", "<h1>a</h1><img><div>x</div><p>b</p>") == "<body><h1></>(<div></>)?<p></></>"
+    assert of("<p>a</p>", "<p>a</p><p>b</p><p>c</p>") == "<body>(<p>#</>)+</>"
+    assert of("<dl><dt>a<dd>b<dt>c<dd>d</dl>", "<dl><dt>a<dd>b<dt>c<dd>d<dt>e<dd>f</dl>") == "<body><dl>(<dt>#</>?<dd>#</>?)+</></>"
+    assert of("<p>a</p><ul><li>x</ul><p>b</p>", "<p>c</p><p>d</p>") == "<body><p>#</>(<ul><li></></>)?<p>#</></>"
+    assert of("<p>a</p><ul><li>x</ul><p>b</p>", "<p>c</p>") == "<body>(<p>#</>?<ul><li></></>?)+</>"
+    assert of("<div><p>a</div><div><ul><li>x</ul></div>", "<div><p>b</div><div><ul><li>x</ul></div>") == "<body><div><p>#</></><div><ul><li></></></></>"
+    assert of("<table><tr><td>1<tr><td>2</table>", *(f"<table>{'<tr><td>x' * n}</table>" for n in (1, 3, 9))).count("<tr>") == 1
+
+
+def test_slots_give_the_text():
+    """No element or class tells the article: three divisions, of which one differs, and a list that differs in its links."""
+    page = lambda t, n: f"""<body><div><ul><li><a href=x>Link {n}</a></li><li><a href=y>About us</a></li></ul></div><div><p>We are a site about things and their names, in {7} languages.</p></div>
+      <div><h2>Title {t}</h2><p>{t} text</p>{"<p>more</p>" * n}</div><div><p>All rights reserved</p></div></body>"""
+    pages = [page(t, n) for n, t in enumerate(("first", "second", "third", "fourth"))]
+    wrapper = united(*pages)
+    assert html.extract(pages[1], wrapper) == "Title second\nsecond text\nmore"
+    assert html.extract(pages[0], wrapper) == "Title first\nfirst text"
+    assert html.extract(pages[1]) != html.extract(pages[1], wrapper)
+    assert html.extract(pages[1], html.Wrapper.unpacked(wrapper.packed())) == html.extract(pages[1], wrapper)
+
+
+def test_words_within_an_article():
+    pages = [f'<article><p class="language-menu">a{n}</p><p class="search">b{n}</p><div class="social">c{n}</div><span class=menu>d{n}</span><div class="ad">x{n}</div><div class="menu"><a href=x>y{n}</a></div></article>' for n in range(4)]
+    for wrapper in (None, united(*pages)):
+        assert html.extract(pages[1], wrapper) == "a1\nb1\nc1\nd1"
+
+
+def test_long_and_deep_pages_take_linear_time():
+    began = time.perf_counter()
+    assert html.extract("<div>" * 10_000 + "x") == "x"
+    assert html.extract("<div>a" * 10_000 + "</div>b" * 10_000) == "\n".join(["a"] * 10_000 + ["b"] * 10_000)
+    assert time.perf_counter() - began < 4
+    many = "".join(f"<p class=k{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}>w{i}</p>" for i in range(5000))
+    wrapper = united(*[f"<article>{many}</article>"] * 3)
+    assert html.extract(f"<article>{many}</article>", wrapper) == "\n".join(f"w{i}" for i in range(5000))
+    assert len(wrapper.packed()) < 10_000
