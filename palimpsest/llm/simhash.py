@@ -118,14 +118,17 @@ def groups(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 
 def grouped(prints: DataFrame, linked: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id) of ``prints`` (doc_id, fp), by links (a, b) between values of fp."""
+    """(doc_id, fp, root, component_id) of ``prints`` (doc_id, fp), by links (a, b) between values of fp.
+
+    ``root`` tells components apart also where documents of two have the same id.
+    """
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n"))
     linked = components(linked)
     linked = cut(linked.join(distinct, linked.node == distinct.fp).select("fp", "component", "low"))
     least = linked.groupBy("component").agg(F.min("low").alias("component_id"), F.count("*").alias("n"))
-    least = looked_up(linked.select("fp", "component"), least, "component", linked.count()).drop("component")
-    named = distinct.join(least, "fp", "left").select("fp", "n", F.coalesce("component_id", "low").alias("component_id"))
-    return looked_up(prints, cut(named), "fp", prints.count()).select("doc_id", "fp", "component_id")
+    least = looked_up(linked.select("fp", "component"), least, "component", linked.count())
+    named = distinct.join(least, "fp", "left").select("fp", "n", F.coalesce("component", "fp").alias("root"), F.coalesce("component_id", "low").alias("component_id"))
+    return looked_up(prints, cut(named), "fp", prints.count()).select("doc_id", "fp", "root", "component_id")
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -133,13 +136,27 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """``docs`` without near-copies by ``copies``: of each group the document with the least doc_id stays, once.
+    """``docs`` without near-copies by ``copies``: of each group the row with the least doc_id stays.
 
-    Documents whose doc_id is null can't be told apart by it; they stay.
+    If rows of that doc_id have different texts of the group, one of the text with the least hash stays; if they have
+    the same text, the least by the other columns. Rows whose doc_id is null can't be told apart by it; they stay.
+    ``docs`` is read three times: give a table, or a frame that is cut.
     """
     prints = cut(copies.signatures(docs))
-    distinct = prints.groupBy("fp").agg(F.first("size").alias("size"), F.first("keys").alias("keys"))
-    near = grouped(prints.select("doc_id", "fp"), copies.links(docs, distinct))
-    keep = near.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).union(docs.where("doc_id is null"))
+    distinct = cut(prints.groupBy("fp").agg(F.first("size").alias("size"), F.first("sign").alias("sign")))
+    near = grouped(prints.select("doc_id", "fp"), copies.links(docs, distinct)).where("doc_id is not null")
+    # Of a group: its texts under the least doc_id, of these one, and whether that has more than one row.
+    rows = near.groupBy("root", "doc_id", "fp").agg(F.count("*").alias("n"))
+    rows = cut(rows.withColumn("kept", F.struct("doc_id", "fp")))
+    keep = rows.groupBy("root").agg(F.min("kept").alias("kept")).select("kept")
+    gone = cut(rows.join(keep, "kept", "left_anti").select("doc_id", "fp", F.lit(1).alias("drop")))
+    more = cut(rows.where("n > 1").join(keep, "kept", "left_semi").select("doc_id", "fp", F.lit(2).alias("drop")))
+    marked = gone.union(more)
+    marked = F.broadcast(marked) if marked.count() <= copies.SMALL else marked
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    words = F.col("text").rlike(r"[^\x09-\x0D ]")
+    named = copies._named(docs.select("doc_id", "text", F.struct(*columns).alias("row")))
+    named = named.select("doc_id", F.when(words, F.col("fp")).otherwise(0).alias("fp"), "row").join(marked, ["doc_id", "fp"], "left")
+    alone = named.where("drop is null").select("row.*")
+    twice = named.where("drop = 2").groupBy("doc_id", "fp").agg(F.min("row").alias("row")).select("row.*")
+    return alone.union(twice)

@@ -27,21 +27,35 @@ def test_stage_equals_brute_force(spark):
     assert {r.doc_id for r in simhash.dedup(docs).collect()} == set(roots(sets, similar))
 
 
-@pytest.mark.parametrize("bucket", [4, 32])
-def test_groups_of_edited_texts(spark, monkeypatch, bucket):
+@pytest.mark.parametrize(("bucket", "levels"), [(32, 3), (4, 3), (2, 1), (1, 0)])
+def test_groups_of_edited_texts(spark, monkeypatch, bucket, levels):
+    """Also if nearly all lists are long, and with chains in which the ends aren't alike."""
     monkeypatch.setattr(copies, "BUCKET", bucket)
+    monkeypatch.setattr(copies, "LEVELS", levels)
+    monkeypatch.setattr(copies, "SPREAD", 3 * bucket)
     random.seed(bucket)
     rows = []
-    for n in (1, 2, 6, 60):
+    for n, edits in ((1, 0), (2, 2), (6, 3), (40, 3), (30, 6)):
         words = [f"w{random.randrange(10_000)}" for _ in range(200)]
         for _ in range(n):
             own = list(words)
-            for _ in range(random.choice([0, 1, 2, 3])):
+            for _ in range(random.randint(0, edits)):
                 own[random.randrange(200)] = f"new{random.randrange(10_000)}"
             rows.append((len(rows), " ".join(own)))
+    chain = [f"c{i}" for i in range(100)]
+    for i in range(0, 60, 4):
+        rows.append((len(rows), " ".join(f"d{j}" if j < i else x for j, x in enumerate(chain))))
     assert left(spark, rows) == set(roots([(d, shingled(x)) for d, x in rows], similar))
 
 
+def test_repeated_ids(spark):
+    rows = [(1, "a b c", "y"), (1, "a b c", "x"), (1, "other text", "z"), (2, "a b c", "w"), (3, "other text", "v"), (None, "a b c", "u"), (None, None, None), (4, " ", None), (5, None, "t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, drop string")
+    got = sorted(map(tuple, simhash.dedup(docs).collect()), key=str)
+    assert got == sorted([(1, "a b c", "x"), (1, "other text", "z"), (None, "a b c", "u"), (None, None, None), (4, " ", None)], key=str)
+    assert simhash.dedup(docs).columns == docs.columns and simhash.dedup(docs.limit(0)).collect() == []
+
+
 def test_threshold(spark):
     words = [f"w{i}" for i in range(13)]  # nine shingles
     rows = [(1, " ".join(words)), (2, " ".join(words[:12])), (3, " ".join(words[:10])), (4, "A b\tc"), (5, "a B c"), (6, "a b d"), (7, ""), (8, None), (9, " \n")]

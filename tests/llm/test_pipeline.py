@@ -1,8 +1,9 @@
 import corpus_pipeline
 import sentencepiece
+from test_copies import shingled, similar
 from test_decontam import distance
 from test_pii import brute
-from test_simhash import near, plain, roots
+from test_simhash import roots
 
 from palimpsest.llm import decontam, pieces, quality
 
@@ -21,8 +22,7 @@ def test_stages_equal_brute_force(spark):
     assert {r.doc_id for r in good.collect()} == want and good.columns == docs.columns
 
     single = take("near_dedup", good)
-    prints = [(d, plain(rows[d].text)) for d in sorted(want)]
-    want = set(roots(prints, near))
+    want = set(roots([(d, shingled(rows[d].text)) for d in sorted(want)], similar))  # five words, 0.8 or more
     assert {r.doc_id for r in single.collect()} == want and single.columns == docs.columns
 
     unseen = take("decontamination", single)
