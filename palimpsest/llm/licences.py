@@ -2,9 +2,10 @@
 
 A text becomes its lower-case words (ASCII letters and digits, and all that isn't ASCII) joined by one space. A notice
 of n characters may be met with ``n // ERROR_EVERY`` errors, k: insertions, deletions or substitutions. It is cut into
-k + 1 seeds, one of which any such passage holds unharmed. One automaton finds all seeds; around each hit the regex
-library's bounded-error matching, with the best match asked for, verifies the notice, at word bounds, and gives its
-span. Of notices that overlap the one with the fewest errors (then the longest) names the licence.
+k + 1 seeds, one of which any such passage holds unharmed. One automaton finds all seeds; in the window of each hit, as
+long as the notice and k more on either side, the regex library's bounded-error matching, with the best match asked for,
+verifies the notice, at word bounds, and gives its span. Of matches that overlap the one with the fewest errors (then of
+the longest notice, then the leftmost) stays. Time is linear in the text.
 
 Defined results
     null and empty texts have no words, no labels and score 0. Rows that repeat give a row each; other columns are not
@@ -13,6 +14,7 @@ Defined results
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
 
@@ -23,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ERROR_EVERY = 12
+#: Windows whose match a task remembers; they only save time.
+REMEMBERED = 20_000
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 # The opening words of public licences and usual notices.
 NOTICES = (
@@ -56,7 +60,9 @@ def budget(notice: str) -> int:
 class Scanner:
     def __init__(self, notices=NOTICES):
         self.notices, self.auto, seeds = notices, ahocorasick.Automaton(), {}
-        self.match = [regex.compile(rf"(?b)(?<![^ ])(?:{regex.escape(n)}){{e<={budget(n)}}}(?![^ ])") for _, n in notices]
+        # What stands beyond a window (shown by a null, if it goes on there) is no error and no bound.
+        self.match = [regex.compile(rf"(?b)(?<![^ ])(?:{regex.escape(n)}){{e<={budget(n)}:[^\x00]}}(?![^ ])") for _, n in notices]
+        self.known: dict[tuple[int, str], tuple[int, int, int] | None] = {}
         for i, (_, n) in enumerate(notices):
             k = budget(n)
             cuts = [len(n) * j // (k + 1) for j in range(k + 2)]
@@ -66,31 +72,47 @@ class Scanner:
             self.auto.add_word(seed, (len(seed), at))
         self.auto.make_automaton()
 
+    def _best(self, i: int, text: str, lo: int, hi: int) -> tuple[int, int, int] | None:
+        """(errors, start, end) of the best match of a notice within a window; windows that read alike are matched once."""
+        piece = ("\0" if lo and text[lo - 1] != " " else " ") + text[lo:hi] + ("\0" if hi < len(text) and text[hi] != " " else "")
+        if (i, piece) not in self.known:
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            m = self.match[i].search(piece)
+            self.known[i, piece] = (sum(m.fuzzy_counts), m.start(), m.end()) if m else None
+        found = self.known[i, piece]
+        return found and (found[0], found[1] + lo - 1, found[2] + lo - 1)
+
     def find(self, text: str) -> list[tuple[int, int, int, str, int]]:
-        """(start, end, errors, label, length of the notice) in joined words; none overlap."""
-        areas: dict[int, list[list[int]]] = {}
-        for last, (size, at) in self.auto.iter(text):
-            for i, a in at:
-                n, start = len(self.notices[i][1]), last + 1 - size - a
-                k = budget(self.notices[i][1])
-                lo, hi = max(0, start - k), start + n + k
-                runs = areas.setdefault(i, [])
-                if runs and lo <= runs[-1][1]:
-                    runs[-1][1] = max(hi, runs[-1][1])
-                else:
-                    runs.append([lo, hi])
-        found = []
-        for i, runs in areas.items():
-            label, notice = self.notices[i]
-            for lo, hi in runs:
-                at, end = lo, text.find(" ", hi)  # a word is seen to its end
-                while m := self.match[i].search(text, at, end if end >= 0 else len(text)):
-                    found.append((sum(m.fuzzy_counts), -len(notice), m.start(), m.end(), label))
-                    at = m.end()
-        kept: list[tuple[int, int, int, str, int]] = []
-        for errors, n, start, end, label in sorted(found):
-            if all(end <= s or start >= e for s, e, *_ in kept):
-                kept.append((start, end, errors, label, -n))
+        """(start, end, errors, label, length of the notice) in joined words; none overlap.
+
+        Every hit's own window gives its best match. Of all these the one with the fewest errors, then of the longest
+        notice, then the leftmost is taken, then the next that overlaps none taken, and so on.
+        """
+        windows = {(i, last + 1 - size - a) for last, (size, at) in self.auto.iter(text) for i, a in at}
+        taken, kept, heap = bytearray(len(text)), [], []
+
+        def seek(i: int, lo: int, hi: int) -> None:
+            if best := self._best(i, text, lo, hi):
+                heapq.heappush(heap, (best[0], -len(self.notices[i][1]), *best[1:], i, lo, hi))
+
+        for i, start in windows:
+            n, k = len(self.notices[i][1]), budget(self.notices[i][1])
+            seek(i, max(0, start - k), min(len(text), start + n + k))
+        while heap:
+            errors, n, start, end, i, lo, hi = heapq.heappop(heap)
+            if taken.find(1, start, end) < 0:
+                taken[start:end] = b"\1" * (end - start)
+                kept.append((start, end, errors, self.notices[i][0], -n))
+                continue
+            while lo < hi:  # what is still free of the window
+                free = taken.find(1, lo, hi)
+                free = hi if free < 0 else free
+                if free - lo >= -n - budget(self.notices[i][1]):
+                    seek(i, lo, free)
+                lo = taken.find(0, free, hi)
+                if lo < 0:
+                    break
         return sorted(kept)
 
 
@@ -100,9 +122,10 @@ def scan(scanner: Scanner, raw: bytes | None) -> tuple:
     joined = b" ".join(words)
     padded, places, base = b" " + joined + b" ", [], set()
     for phrase, label in PHRASES:
-        needle, at = f" {phrase} ".encode(), -1
+        needle, at, seen, word = f" {phrase} ".encode(), -1, 0, 0
         while (at := padded.find(needle, at + 1)) >= 0:
-            places.append(padded.count(b" ", 0, at))
+            word, seen = word + padded.count(b" ", seen, at), at
+            places.append(word)
             base.add(label)
     found = scanner.find(joined.decode("utf-8", "replace"))
     spans = ""

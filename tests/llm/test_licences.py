@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 from palimpsest.llm import licences
 
@@ -49,6 +50,52 @@ def test_fuzzy_equals_brute_force():
     assert 100 < hit < 390
 
 
+def spans(text, notices):
+    """All runs of words that meet a notice, taken one after another by errors, length of the notice and start."""
+    at, words = [], []
+    for m in re.finditer("[^ ]+", text):
+        words.append(m.span())
+    for label, n in notices:
+        k = licences.budget(n)
+        for x, (start, _) in enumerate(words):
+            for _, end in words[x:]:
+                if abs(end - start - len(n)) <= k and (e := edits(n, text[start:end])) <= k:
+                    at.append((e, -len(n), start, end, label))
+    kept = []
+    for e, _, start, end, label in sorted(at):
+        if all(end <= s or start >= t for s, t, *_ in kept):
+            kept.append((start, end, e, label))
+    return sorted(kept)
+
+
+def test_all_spans_of_several_notices():
+    random.seed(4)
+    scanner, some = licences.Scanner(), [n for _, n in licences.NOTICES if len(n) < 50]
+    for _ in range(60):
+        parts = []
+        for _ in range(random.randint(2, 5)):
+            text = list(random.choice(some))
+            for _ in range(random.choice([0, 0, 1, 2, 3])):
+                i = random.randrange(len(text))
+                text[i : i + random.choice([0, 1])] = random.choice(["x", "", "e"])
+            parts += ["".join(text), *["some other words"] * random.choice([0, 1])]
+        text = " ".join(" ".join(parts).split())
+        got = [(s, e, errors, label) for s, e, errors, label, _ in scanner.find(text)]
+        want = spans(text, licences.NOTICES)
+        assert [g[2:] for g in got] == [w[2:] for w in want], (text, got, want)
+        assert all(abs(g[0] - w[0]) + abs(g[1] - w[1]) <= 6 for g, w in zip(got, want))
+    assert [f[:3] for f in scanner.find("licensed under the mit licence licensed under the mit license")] == [(0, 30, 1), (31, 61, 0)]
+
+
+def test_long_texts_take_linear_time():
+    scanner = licences.Scanner()
+    for text in ("under the mit license ", "cc by nc ", "licensed under cc by sa 4 0 ", "permission"):
+        raw = (text * (1_000_000 // len(text))).encode()
+        began = time.perf_counter()
+        n = licences.scan(scanner, raw)[1]
+        assert time.perf_counter() - began < 6 and n in (0, len(raw) // len(text))
+
+
 def test_overlaps_go_to_the_closest():
     find = lambda t: [(label, errors) for _, _, errors, label, _ in licences.Scanner().find(t)]
     assert find("the gnu general public license version 2 or") == [("gpl-2", 0)]
