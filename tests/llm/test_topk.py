@@ -1,5 +1,6 @@
 import math
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -14,20 +15,19 @@ def test_query_equals_sql(spark, agree):
 
 
 def brute(rows, every, k=5):
-    rows = sorted({i: v for i, v in rows if i is not None and v is not None and all(c is not None and math.isfinite(c) for c in v)}.items())
-    whole = {i: [math.floor(256 * c) for c in v] for i, v in rows}
+    whole = [(i, [math.floor(256 * c) for c in v]) for i, v in rows if i is not None and v is not None and all(c is not None and math.isfinite(c) for c in v)]
     out = []
-    for q in whole:
-        if q % every == 0:
-            best = sorted((-sum(a * b for a, b in zip(whole[q], whole[i])), i) for i in whole if i != q)[:k]
-            out += [(q, n, i, -s) for n, (s, i) in enumerate(best, 1)]
+    for q in {i for i, _ in whole if i % every == 0}:
+        best = sorted((-sum(a * b for a, b in zip(v, w)), i) for p, v in whole if p == q for i, w in whole if i != q)[:k]
+        out += [(q, n, i, -s) for n, (s, i) in enumerate(best, 1)]
     return sorted(out)
 
 
 @pytest.mark.parametrize("size", [7, 64, 1024])
 def test_equals_brute_force(spark, monkeypatch, size):
     monkeypatch.setattr(topk, "SHARD", size)
-    monkeypatch.setattr(topk, "BLOCK", 5)
+    monkeypatch.setattr(topk, "SMALL", size)
+    monkeypatch.setattr(topk, "ASKED", 5)
     monkeypatch.setattr(topk, "LEAF", 3)
     random.seed(size)
     rows = [(i, [random.choice([-0.5, 0.01, 0.25, 0.3]) for _ in range(4)]) for i in range(300)]
@@ -37,6 +37,37 @@ def test_equals_brute_force(spark, monkeypatch, size):
     assert sorted(tuple(r) for r in topk.top(df, 50).collect()) == brute(rows, 50)
 
 
+@pytest.mark.parametrize("boxes", [64_000_000, 0])
+def test_repeated_ids(spark, agree, monkeypatch, tmp_path, boxes):
+    """Equal and different vectors under one id, in any order, also where a third of all rows are the same: all are candidates, as in the SQL."""
+    monkeypatch.setattr(topk, "SHARD", 40)
+    monkeypatch.setattr(topk, "SMALL", 40)
+    monkeypatch.setattr(topk, "BOXES", boxes)
+    random.seed(3)
+    rows = [(i % 70, [random.choice([0.1, 0.5, -0.25]) for _ in range(3)]) for i in range(200)] + [(7, [0.5, 0.5, 0.5])] * 100 + [(50, [0.5, 0.1, 0.1])] * 3
+    for turn in range(2):
+        random.shuffle(rows)
+        at = tmp_path / str(turn)
+        at.mkdir()
+        for table in Path(SF).glob("*.parquet"):
+            (at / table.name).symlink_to(table)
+        (at / "embeddings.parquet").unlink()
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        df.toPandas().to_parquet(at / "embeddings.parquet")
+        assert agree(queries.op8_topk(spark, str(at)), queries.ORACLES["op8_topk"], str(at)) == 10
+        assert sorted(tuple(r) for r in topk.top(df, 50).collect()) == brute(rows, 50)
+
+
+def test_shards_out_of_reach_are_not_asked():
+    import pandas as pd
+
+    box = lambda lo, hi: [lo, lo, hi, hi]
+    ask = topk._asking([(1, box(0.0, 1.0)), (2, box(9.0, 10.0)), (3, box(4.0, 5.0))])
+    asks = topk._rows(1, 1, id=[50, 100], vec=[[1.0, 1.0], [2.0, 0.0]], least=[10.5, None])
+    got = pd.concat(ask(iter([asks])))
+    assert sorted(zip(got["shard"], got["id"])) == [(2, 50), (2, 100), (3, 100)]
+
+
 def test_few_rows(spark):
     df = spark.createDataFrame([(50, [1.0]), (100, [2.0]), (7, [0.5])], "vec_id long, embedding array<float>")
     assert sorted(tuple(r) for r in topk.top(df, 50).collect()) == [(50, 1, 100, 131072), (50, 2, 7, 32768), (100, 1, 50, 131072), (100, 2, 7, 65536)]
