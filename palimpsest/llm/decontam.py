@@ -11,7 +11,7 @@ Defined results
     met exactly, at word bounds. Equal items are each reported. Repeated documents each give their rows. A document
     and an item give one row, for the place with the fewest edits, then the leftmost. Texts are searched whole; other
     columns are not looked at. Items are read in blocks of ``BLOCK`` characters, each block broadcast and searched in
-    turn, so what a task holds doesn't grow with the benchmark.
+    turn, so what a task holds doesn't grow with the benchmark; the documents are read once for each block.
 """
 
 from __future__ import annotations
@@ -156,18 +156,18 @@ class Finder:
         if not len(self.auto) or not text:
             return []
         best: dict[int, tuple[int, int, int]] = {}
-        seen: dict[int, list[tuple[int, int]]] = {}
+        seen: dict[int, set[int]] = {}
         for last, leaves in self.auto.iter(text):
             for n, leaf in leaves:
                 p = last + 1 - len(leaf.text)
-                k, at = len(self.items[n][1]) // 10, p - leaf.start
-                if any(abs(at - s) <= k and p < e for s, e in seen.get(n, ())[-2:]):
+                # The item was verified there through another of its pieces, or was met without an edit.
+                if p - leaf.start in seen.get(n, ()) or n in best and not best[n][0]:
                     continue
                 found = self._climb(leaf, text, p)
                 if found:
                     if first:
                         return [(self.items[n][0], *found)]
-                    seen.setdefault(n, []).append(found[1:])
+                    seen.setdefault(n, set()).add(p - leaf.start)
                     best[n] = min(best.get(n, found), found)
         return [(self.items[n][0], *x) for n, x in sorted(best.items())]
 
