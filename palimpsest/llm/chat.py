@@ -6,8 +6,9 @@ Running sums of the turns' tokens cut each conversation: a turn belongs to the s
 the texts of assistant turns of the span alone; history was, or is, a target of another window. So each turn is fresh
 in exactly one window, and each target is learnt from once.
 
-All of it is DataFrame operations: one window function and one grouping over the same partitioning. A conversation's
-turns meet in one row, as its digest needs them to.
+All of it is DataFrame operations: window functions and one grouping over the same partitioning. A window's own turns
+and history meet in one row, however long the conversation is; a conversation is sorted in one task, which spills. Only
+``read_back`` meets a whole conversation in one row, as its digests are of the whole.
 
 Defined results
     Null texts and roles are empty. Turns are ordered by turn, role and text; null turns come first; equal rows stay, as
@@ -47,16 +48,21 @@ def windows(turns: DataFrame) -> DataFrame:
     rows = rows.withColumn("opens", (F.col("pos") == 1) & (F.col("role") == "system"))
     tokens = F.when(F.col("opens"), 0).otherwise(F.ceil(F.length("text") / 4) + 4).cast("long")
     start = F.sum(tokens).over(order.rowsBetween(Window.unboundedPreceding, 0)) - tokens
-    rows = rows.withColumn("start", start).withColumn("span", F.floor(F.col("start") / SPAN))
-    each = F.struct("pos", escape(F.col("role")).alias("role"), escape(F.col("text")).alias("text"), "start", "span", "opens", (F.col("role") == "assistant").alias("target"))
-    whole = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(each)).alias("all"))
-    cut = whole.select("conv_id", "all", F.explode(F.array_distinct(F.transform("all", lambda t: t["span"]))).alias("window"))
-    cut = cut.withColumn("fresh", F.filter("all", lambda t: t["span"] == F.col("window")))
-    first = F.array_min(F.transform("fresh", lambda t: t["start"]))
-    cut = cut.withColumn("first", first)
-    past = F.filter("all", lambda t: (t["span"] < F.col("window")) & (t["opens"] | (t["start"] >= F.col("first") - HISTORY)))
-    join = lambda a: F.array_join(F.transform(a, _turn), "")
-    cut = cut.withColumn("past", join(past)).withColumn("fresh_at", F.length("past").cast("long"))
+    rows = rows.withColumn("start", start).withColumn("window", F.floor(F.col("start") / SPAN))
+    rows = rows.select("conv_id", "pos", "start", "window", "opens", (F.col("role") == "assistant").alias("target"), escape(F.col("role")).alias("role"), escape(F.col("text")).alias("text"))
+    # As SPAN is more than HISTORY, a turn can be history of no window but the next, whose first turn tells.
+    after = F.min("start").over(Window.partitionBy("conv_id").orderBy("window").rangeBetween(1, 1))
+    system = F.first(F.when(F.col("opens"), _turn(F.struct("role", "text"))).otherwise("")).over(Window.partitionBy("conv_id").orderBy("pos"))
+    rows = rows.withColumn("after", after).withColumn("system", system)
+    past = ~F.col("opens") & (F.col("start") >= F.col("after") - HISTORY)
+    into = F.array_compact(F.array(F.col("window"), F.when(past, F.col("window") + 1)))
+    each = F.struct("pos", "role", "text", "target", (F.col("into") == F.col("window")).alias("fresh"))
+    rows = rows.withColumn("into", F.explode(into))
+    # What meets in one row is a span and its history. Turns of one conversation lie together; nothing is shuffled again.
+    cut = rows.groupBy("conv_id", F.col("into").alias("window")).agg(F.array_sort(F.collect_list(each)).alias("all"), F.first("system").alias("system"))
+    join = lambda fresh: F.array_join(F.transform(F.filter("all", lambda t: t["fresh"] == fresh), _turn), "")
+    cut = cut.withColumn("past", F.concat(F.when(F.col("window") > 0, F.col("system")).otherwise(""), join(False)))
+    cut = cut.withColumn("fresh_at", F.length("past").cast("long"))
 
     def mask(acc: Column, t: Column) -> Column:
         start = acc["at"] + F.length(t["role"]) + len(OPEN) + 1
@@ -65,8 +71,8 @@ def windows(turns: DataFrame) -> DataFrame:
         return F.struct((end + len(CLOSE)).alias("at"), F.when(t["target"], F.concat(acc["loss"], span)).otherwise(acc["loss"]).alias("loss"))
 
     zero = F.struct(F.col("fresh_at").alias("at"), F.from_json(F.lit("[]"), "array<struct<start:long,end:long>>").alias("loss"))
-    loss = F.aggregate("fresh", zero, mask, lambda acc: acc["loss"])
-    return cut.select("conv_id", "window", F.concat("past", join(F.col("fresh"))).alias("formatted"), "fresh_at", loss.alias("loss"))
+    loss = F.aggregate(F.filter("all", lambda t: t["fresh"]), zero, mask, lambda acc: acc["loss"])
+    return cut.select("conv_id", "window", F.concat("past", join(True)).alias("formatted"), "fresh_at", loss.alias("loss"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:

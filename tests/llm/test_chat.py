@@ -59,6 +59,19 @@ def test_windows_and_round_trip(spark):
         assert (r.loss_chars, r.loss_sha256) == (len(loss), sha(loss))
 
 
+def test_long_conversation(spark):
+    """40,000 turns of one conversation and as many without an id: windows stay as short as in any other."""
+    turns = [("system", "be brief")] + [("assistant" if i % 2 else "user", f"{i} " + "word " * (i % 60)) for i in range(39_999)]
+    rows = [(c, i, r, t) for c in (1, None) for i, (r, t) in enumerate(turns)]
+    made = chat.windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = made.where("conv_id = 1").orderBy("window").select("formatted", "fresh_at").collect()
+    show = lambda turns: "".join(f"<|im_start|>{r}\n{t}<|im_end|>\n" for r, t in turns)
+    want = [(show(past + fresh), len(show(past))) for past, fresh in brute(turns[:4000])][:-1]
+    assert [tuple(r) for r in got[: len(want)]] == want and max(len(r.formatted) for r in got) < 4000
+    back = {r.conv_id: r for r in chat.read_back(made).collect()}
+    assert back[1].turns_sha256 == back[None].turns_sha256 == sha("".join(f"{a}\n{b}\n" for a, b in turns)) and back[None].n_turns == 40_000
+
+
 def test_edges(spark):
     rows = [(1, None, "user", "b"), (1, 0, "assistant", "a"), (1, 0, "assistant", "a")]
     r = chat.read_back(chat.windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()
