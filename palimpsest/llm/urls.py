@@ -14,7 +14,8 @@ Defined results
     verdict of no match. Hosts are compared in lower case without port, user or a last dot. Changes that lack a value
     or a time are void; of equal changes at one time one counts, and of contrary ones at one time removal holds.
     Repeated captures are answered once and repeated again. The entry named is the one added last, then the least by
-    list and key. What a capture asks for is bounded by the parts of its own host and path; long urls are read whole.
+    list and key. Long urls are read whole, in linear time: what a
+    capture asks for is bounded by the parts of the longest entry.
     Give only the columns that are needed: texts beside the url would be shuffled.
 """
 
@@ -36,13 +37,20 @@ def path(url: Column) -> Column:
     return F.regexp_extract(F.trim(url), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)", 1)
 
 
-def keys(url: Column) -> Column:
-    """What a url is looked up by: the suffixes of its host, and the host with the prefixes of its path."""
-    labels, parts = F.split(host(url), r"\."), F.split(F.regexp_replace(path(url), "^/|/$", ""), "/")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat(F.lit("host "), F.array_join(F.slice(labels, i, F.size(labels)), ".")))
-    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat(F.lit("prefix "), host(url), F.lit("/"), F.array_join(F.slice(parts, 1, i), "/")))
-    some = F.when(F.length(path(url)) > 1, prefixes).otherwise(F.array().cast("array<string>"))
-    return F.when(F.length(host(url)) > 0, F.array_distinct(F.concat(suffixes, some))).otherwise(F.array().cast("array<string>"))
+def keys(url: Column, labels: int | None = None, parts: int | None = None) -> Column:
+    """What a url is looked up by: the suffixes of its host, and the host with the prefixes of its path.
+
+    Given how many labels the longest listed host has and how many parts the longest listed path, longer keys, which no
+    entry can have, are not made.
+    """
+    names, steps = F.split(host(url), r"\."), F.split(F.regexp_replace(path(url), "^/|/$", ""), "/")
+    first = F.lit(1) if labels is None else F.greatest(F.lit(1), F.size(names) - labels + 1)
+    last = F.size(steps) if parts is None else F.least(F.size(steps), F.lit(parts))
+    none = F.array().cast("array<string>")
+    suffixes = F.transform(F.sequence(first, F.size(names)), lambda i: F.concat(F.lit("host "), F.array_join(F.slice(names, i, F.size(names)), ".")))
+    prefixes = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.concat(F.lit("prefix "), host(url), F.lit("/"), F.array_join(F.slice(steps, 1, i), "/")))
+    some = F.when((F.length(path(url)) > 1) & (last > 0), prefixes).otherwise(none)
+    return F.when(F.length(host(url)) > 0, F.array_distinct(F.concat(none if labels == 0 else suffixes, some))).otherwise(none)
 
 
 def intervals(changes: DataFrame) -> DataFrame:
@@ -62,10 +70,17 @@ def match(captures: DataFrame, changes: DataFrame, url: str = "url", at: str = "
     Lists whose name starts with ``allow`` override all others.
     """
     found, columns = intervals(changes), captures.columns
+    # Only as many labels and parts are looked up as an entry has; so a url of any length has few keys.
+    kind, entry = F.startswith("key", F.lit("host ")), F.regexp_replace("key", "^[^/]*/", "")
+    many, labels, parts = found.agg(
+        F.count("*"),
+        F.coalesce(F.max(F.when(kind, F.size(F.split("key", r"\.")))), F.lit(0)),
+        F.coalesce(F.max(F.when(~kind, F.size(F.split(entry, "/")))), F.lit(0)),
+    ).first()
     each = captures.groupBy(*[F.col(f"`{c}`") for c in columns]).agg(F.count("*").alias("__copies"))
     row = F.struct(*[F.col(f"`{c}`") for c in columns], "__copies")
-    asked = each.select(row.alias("row"), F.col(f"`{at}`").alias("time"), F.explode_outer(keys(F.col(f"`{url}`"))).alias("key"))
-    if found.limit(SMALL + 1).count() <= SMALL:
+    asked = each.select(row.alias("row"), F.col(f"`{at}`").alias("time"), F.explode_outer(keys(F.col(f"`{url}`"), labels, parts)).alias("key"))
+    if many <= SMALL:
         met = asked.join(F.broadcast(found), _in_force(asked, found), "left")
     else:
         salted = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

@@ -38,3 +38,14 @@ def test_times_and_odd_rows(spark, monkeypatch, small):
     assert got == sorted(want, key=str)
     assert urls.match(captures.limit(0), lists).collect() == []
     assert {r.verdict for r in urls.match(captures, lists.limit(0)).collect()} == {"none"}
+
+
+@pytest.mark.parametrize("small", [100_000, 0])
+def test_long_urls(spark, monkeypatch, small):
+    """200,000 characters of parts or of labels; entries of several parts are still met."""
+    monkeypatch.setattr(urls, "SMALL", small)
+    at = datetime(2024, 1, 1)
+    lists = spark.createDataFrame([("bad", "prefix", "h.org/a/b/c", "add", at), ("bad", "host", "x.y.net", "add", at), ("bad", "prefix", "h.org", "add", at)], "list string, kind string, value string, change string, at timestamp_ntz")
+    rows = [(1, "http://h.org/a/b/c" + "/a" * 100_000), (2, "http://" + "a." * 100_000 + "x.y.net/"), (3, "http://h.org/" + "a" * 200_000), (4, "http://h.org/a/b"), (5, "http://y.net/")]
+    captures = spark.createDataFrame([(*r, at) for r in rows], "id long, url string, fetched timestamp_ntz")
+    assert {r.id: r.entry for r in urls.match(captures, lists).collect()} == {1: "bad prefix h.org/a/b/c", 2: "bad host x.y.net", 3: "", 4: "", 5: ""}
