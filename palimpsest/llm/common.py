@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.sources.folder import shared
+
 #: A key is hot if at least this part of all rows has it.
 HOT = 1000
 
@@ -16,15 +16,10 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage through a reliable checkpoint in the cluster's shared folder.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (local tests) is one made here.
-    """
+    """Cuts lineage through a reliable checkpoint in the folder that the cluster shares."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(
-            df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-")
-        )
+        context.setCheckpointDir(shared(df.sparkSession))
     return df.checkpoint()
 
 
