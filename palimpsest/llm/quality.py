@@ -132,7 +132,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Trees:
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["quality"].cast("int32"), values], ["doc_id", "quality", "x"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = texts.mapInArrow(of, f"doc_id {kind}, quality int, x array<double>").collect()
+    found = texts.mapInArrow(of, f"doc_id {kind}, quality int, x array<double>")
+    # A doc_id may have many documents; of their rows, too, those of the smallest hashes are taken.
+    rows = found.orderBy(F.xxhash64("doc_id", "quality", "x"), "doc_id", "quality").limit(SAMPLE).collect()
     rows.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), str(r.doc_id), r.quality, r.x))
     x = np.array([r.x for r in rows], np.float64).reshape(len(rows), len(STATISTICS))
     return fit(x, np.array([r.quality == 1 for r in rows], np.float64))

@@ -62,3 +62,30 @@ def test_edges(spark):
     assert len(got) == 7 and all(0 <= r.score <= 1 for r in got)
     assert quality.accepted(docs, labels).columns == docs.columns
     assert quality.report(docs.limit(0), labels).collect() == []
+
+
+def test_first_split_equals_brute_force():
+    """Of the root: the feature and cut with the greatest gain, over all features and all cuts of their histograms."""
+    rng = np.random.default_rng(6)
+    for turn in range(5):
+        x = np.round(rng.normal(size=(300, 4)), 1 + turn % 2)
+        y = (x[:, turn % 4] + rng.normal(size=300) > 0.3).astype(float)
+        trees = quality.fit(x, y)
+        p = (y.sum() + 1) / (len(y) + 2)
+        g, h = p - y, np.full(len(y), p * (1 - p))
+        value = lambda rows: g[rows].sum() ** 2 / (h[rows].sum() + quality.RIDGE)  # noqa: B023, E731
+        best = (0.0, None, None)
+        for f in range(4):
+            for cut in np.unique(np.quantile(x[:, f], np.linspace(0, 1, quality.BINS + 1)[1:-1])):
+                left = x[:, f] <= cut
+                if min(h[left].sum(), h[~left].sum()) >= quality.LEAST:
+                    best = max(best, (value(left) + value(~left) - value(np.ones(len(y), bool)), f, cut), key=lambda b: b[0])
+        assert (trees.feature[0, 0], trees.above[0, 0]) == best[1:]
+
+
+def test_many_documents_of_one_id(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SAMPLE", 50)
+    docs = spark.createDataFrame([(i % 3, f"text {i} " * (i % 7)) for i in range(500)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(3)], "doc_id long, quality int")
+    one, two = (sorted(map(tuple, quality.report(x, labels).collect())) for x in (docs, docs.repartition(5)))
+    assert one == two and len(one) == 500
