@@ -68,3 +68,21 @@ def test_frames(spark):
     assert back.where("text != coalesce(before, '')").count() == 0 and back.count() == len(HARD) + 2
     assert pieces.report(docs.limit(0)).collect() == []
     assert spark.createDataFrame([(None,)], "ids array<int>").transform(pieces.decode).collect()[0].text == ""
+
+
+def test_one_edge_is_admissible(codec):
+    """With the edges that merging allows, every prefix has one piece that may end it, so the greatest score is the only one."""
+    random.seed(7)
+    words = [" " + "".join(random.choices("abcdeinorsthé", k=random.randint(1, 14))) for _ in range(400)] + [" international", " the", "aaaaaaaa", " ababab"]
+    for word in words:
+        last = [-1]
+        for end in range(1, len(word) + 1):
+            edges = [t for begin in range(end) if (t := codec.ids.get(word[begin:end])) is not None and codec.follows(last[begin], t)]
+            assert len(edges) <= 1, (word, end)
+            last.append(edges[0] if edges else -1)
+        path, end = [], len(word)
+        while end:
+            path.append(last[end])
+            end -= len(codec.text[last[end]]) if last[end] >= 0 else 1
+        if -1 not in path:
+            assert pieces.np.frombuffer(codec.encode_words([word])[word], "int32").tolist() == path[::-1]
