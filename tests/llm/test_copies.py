@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from test_simhash import roots
 
@@ -27,11 +28,12 @@ def test_stage_equals_brute_force(spark):
     assert {r.doc_id for r in simhash.dedup(docs).collect()} == set(roots(sets, similar))
 
 
-@pytest.mark.parametrize(("bucket", "levels"), [(32, 3), (4, 3), (2, 1), (1, 0)])
-def test_groups_of_edited_texts(spark, monkeypatch, bucket, levels):
-    """Also if nearly all lists are long, and with chains in which the ends aren't alike."""
+@pytest.mark.parametrize(("bucket", "block"), [(32, 2048), (4, 2048), (2, 7), (1, 3)])
+def test_groups_of_edited_texts(spark, monkeypatch, bucket, block):
+    """Also if nearly all lists are long and in several blocks, and with chains in which the ends aren't alike."""
     monkeypatch.setattr(copies, "BUCKET", bucket)
-    monkeypatch.setattr(copies, "LEVELS", levels)
+    monkeypatch.setattr(copies, "BLOCK", block)
+    monkeypatch.setattr(copies, "WIDE", 10 * block)
     monkeypatch.setattr(copies, "SPREAD", 3 * bucket)
     random.seed(bucket)
     rows = []
@@ -65,3 +67,10 @@ def test_threshold(spark):
 def test_shingles():
     for text in (None, "", "a", "a b c d", "a b c d e", "a b c d e f a b c d e f", "x " * 50):
         assert len(copies.shingles(None if text is None else text.encode())) == len(shingled(text))
+
+
+def test_similarity_matrix():
+    random.seed(9)
+    sets = [shingled(" ".join(random.choice("ab") for _ in range(random.randint(4, 12)))) for _ in range(60)]
+    hashed = [np.array(sorted(hash(x) for x in s)) for s in sets]
+    assert copies._similar(hashed[:20], hashed[20:]).tolist() == [[similar(a, b) for b in sets[20:]] for a in sets[:20]]
