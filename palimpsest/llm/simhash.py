@@ -151,12 +151,14 @@ def dedup(docs: DataFrame) -> DataFrame:
     keep = rows.groupBy("root").agg(F.min("kept").alias("kept")).select("kept")
     gone = cut(rows.join(keep, "kept", "left_anti").select("doc_id", "fp", F.lit(1).alias("drop")))
     more = cut(rows.where("n > 1").join(keep, "kept", "left_semi").select("doc_id", "fp", F.lit(2).alias("drop")))
-    marked = gone.union(more)
-    marked = F.broadcast(marked) if marked.count() <= copies.SMALL else marked
     columns = [F.col(f"`{c}`") for c in docs.columns]
     words = F.col("text").rlike(r"[^\x09-\x0D ]")
     named = copies._named(docs.select("doc_id", "text", F.struct(*columns).alias("row")))
-    named = named.select("doc_id", F.when(words, F.col("fp")).otherwise(0).alias("fp"), "row").join(marked, ["doc_id", "fp"], "left")
+    named = named.select("doc_id", F.when(words, F.col("fp")).otherwise(0).alias("fp"), "row")
+    few = lambda marked: F.broadcast(marked) if marked.count() <= copies.SMALL else marked
+    if more.isEmpty():
+        return named.join(few(gone.drop("drop")), ["doc_id", "fp"], "left_anti").select("row.*")
+    named = named.join(few(gone.union(more)), ["doc_id", "fp"], "left")
     alone = named.where("drop is null").select("row.*")
     twice = named.where("drop = 2").groupBy("doc_id", "fp").agg(F.min("row").alias("row")).select("row.*")
     return alone.union(twice)
